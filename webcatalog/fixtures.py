@@ -384,3 +384,33 @@ def profile_rows() -> list[tuple]:
 
 def profiles(spark: SparkSession) -> DataFrame:
     return local_table(spark, profile_rows(), PROFILE_DDL)
+
+
+def products(parts: DataFrame, as_of: str = "2024-01-01 00:00:00") -> DataFrame:
+    """A stored catalog straight from the parts, with planted gaps."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    states = F.array(*[F.lit(s) for s in AVAILABILITY_STATES])
+    at = F.lit(as_of).cast("timestamp")
+    keep = lambda when, value: F.when(when, value)
+    return parts.select(
+        F.concat(F.lit("P"), _key()).alias("dedup_key"),
+        F.concat("p_name", F.lit(" "), _key()).alias("name"),
+        F.concat(F.lit("P"), _key()).alias("sku"),
+        F.concat(F.lit("P"), _key()).alias("item_number"),
+        keep(n % 11 != 0, F.col("p_brand")).alias("brand"),
+        F.array(F.lit("Parts"), F.col("p_type")).alias("category_path"),
+        keep(n % 29 != 0, F.col("p_type")).alias("source_category"),
+        product_url(_key()).alias("product_url"),
+        keep(n % 23 != 0, F.col("p_retailprice")).alias("price"),
+        F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("pack_size"),
+        F.get(states, F.pmod(size, F.lit(5)).cast("int")).alias("availability"),
+        keep(size % 7 != 0, F.concat(F.lit("A "), "p_name")).alias("description"),
+        F.when(n % 3 == 0, F.create_map(F.lit("Size"), size.cast("string")))
+        .otherwise(F.create_map().cast("map<string, string>")).alias("specifications"),
+        F.when(n % 6 != 0, F.array(F.concat(F.lit("/img/"), _key())))
+        .otherwise(F.array().cast("array<string>")).alias("image_urls"),
+        keep(n % 4 == 0, size / 10.0).alias("rating"),
+        F.array().cast("array<struct<sku: string, pack_size: string, price: double, availability: string>>").alias("variants"),
+        F.array().cast("array<struct<name: string, url: string, sku: string>>").alias("alternatives"),
+        F.lit("jsonld").alias("extraction_tier"), at.alias("scraped_at"), at.alias("updated_at"),
+    )

@@ -167,11 +167,6 @@ def css_value(rule: Column, hits: Column, texts: Column, scope: Column) -> Colum
     return let(F.filter(hit(rule["selector"]), lambda e: inside(e, scope)), of)
 
 
-def _has_regex(compiled: DataFrame) -> bool:
-    uses = F.exists("rules", lambda r: r["value"]["source"] == "regex")
-    return not compiled.where(uses).isEmpty()
-
-
 def plan_pages(matched: DataFrame) -> DataFrame:
     """Add ``mode`` (nodes, items, one, none) and, for item pages, the ``items`` elements."""
     has_products = F.exists("doc.nodes", lambda n: F.array_contains(n["types"], "Product"))
@@ -214,17 +209,21 @@ def extraction_notes(matched: DataFrame) -> DataFrame:
     return explode_rows(staged, ["page_id", "url"], "notes", "note_no", "note").drop("note_no")
 
 
-def extract_records(matched: DataFrame, regex: bool | None = None) -> DataFrame:
+def extract_records(
+    matched: DataFrame, regex: bool | None = None, keep_empty: bool = False
+) -> DataFrame:
     """Raw records of pages that carry a document and a compiled profile.
 
     Output: the page's own columns, ``rec_no``, ``tier`` and ``fields map<string, variant>``.
-    ``regex=False`` leaves the Arrow step for regex rules out of the plan; by default one look
-    at the profile table decides.
+    ``regex=False`` leaves the Arrow step for regex rules out of the plan. ``keep_empty`` keeps
+    a row (with null ``rec_no``) for pages without any record.
     """
-    planned = plan_pages(matched).where("mode is not null")
+    planned = plan_pages(matched)
+    if not keep_empty:
+        planned = planned.where("mode is not null")
     elems, texts = F.col("doc.elems"), F.col("doc.texts")
     rules = F.filter("rules", lambda r: r["value"]["source"] == "regex")
-    if regex or regex is None:
+    if regex is not False:
         page_text = F.array(F.array_join(texts, " "))
         item_texts = F.transform("items", lambda e: element_text(texts, e))
         searched = F.when(
@@ -287,4 +286,7 @@ def extract_records(matched: DataFrame, regex: bool | None = None) -> DataFrame:
                "last_validated", "ttl_hours", "version", "profile_tier"]
     kept = [c for c in matched.columns if c not in dropped]
     staged = planned.select(*kept, F.col("profile_tier").alias("tier"), records.alias("records"))
-    return explode_rows(staged, kept + ["tier"], "records", "rec_no", "fields")
+    exploded = staged.select(
+        *kept, "tier", F.posexplode_outer("records").alias("rec_no", "fields")
+    )
+    return exploded if keep_empty else exploded.where("rec_no is not null")
