@@ -36,7 +36,9 @@ def build_catalog(t: Tables) -> DataFrame:
 @query(
     "crawl_archive",
     f"""WITH {PAGED_SQL}
-       SELECT DISTINCT url, CAST(page - 1 AS INT) AS hop, 'cat ' || p_brand AS source_category, 'done' AS status FROM places""",
+       SELECT DISTINCT url, CAST(page - 1 AS INT) AS hop, 'cat ' || p_brand AS source_category, 'done' AS status FROM places
+       UNION ALL SELECT 'https://shop.example.com/catalog/' || slug || '?p=' || (max(page) + 1), CAST(max(page) AS INT),
+         'cat ' || p_brand, 'failed' FROM places GROUP BY slug, p_brand HAVING max(page) < max(last_page)""",
 )
 def crawl_archive(t: Tables) -> DataFrame:
     brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))
@@ -120,7 +122,7 @@ def gap_fill(t: Tables) -> DataFrame:
 # A claim per document: its first words, a planted foreign word, its source and two letters.
 _CLAIMS_SQL = """claims AS (
   SELECT doc_id, substr(text, 3, 18) AS name, CASE WHEN doc_id % 3 = 0 THEN 'zzqx-nope' ELSE lang END AS brand,
-    upper(substr(text, 1, 12)) AS description, lower(text) AS haystack FROM documents)"""
+    substr(text, 1, 12) AS description, lower(text) AS haystack FROM documents)"""
 
 
 def _claims(t: Tables) -> DataFrame:
@@ -128,7 +130,7 @@ def _claims(t: Tables) -> DataFrame:
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("url"), "doc_id",
         F.substring("text", 3, 18).alias("name"),
         F.when(F.col("doc_id") % 3 == 0, "zzqx-nope").otherwise(F.col("lang")).alias("brand"),
-        F.upper(F.substring("text", 1, 12)).alias("description"),
+        F.substring("text", 1, 12).alias("description"),
     )
 
 
@@ -184,7 +186,7 @@ def ingest_responses(t: Tables) -> DataFrame:
 @query(
     "route_pages",
     f"""WITH {PAGED_SQL}
-       SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'blocked' ELSE 'no_profile' END AS route, CAST(0 AS BIGINT) AS records FROM pages
+       SELECT -page_id - 1 AS page_id, CASE WHEN page_id % 5 = 0 THEN 'blocked' ELSE 'no_profile' END AS route, CAST(0 AS BIGINT) AS records FROM pages
        UNION ALL SELECT page_id, CASE WHEN seq % 4 = 0 THEN 'blocked' ELSE 'ok' END,
          CASE WHEN seq % 4 = 0 THEN 0 ELSE count(*) END FROM places GROUP BY page_id, seq
        UNION ALL SELECT p_partkey * 10 + 3, CASE WHEN p_partkey % 3 = 0 THEN 'low_coverage' ELSE 'ok' END,
@@ -194,7 +196,7 @@ def route_pages(t: Tables) -> DataFrame:
     columns = ["page_id", "url", "status", "kind", "source_category", "seq", "html"]
     pages = read_pages(t.spark, t.path("pages")).withColumn(
         "status", F.when(F.col("page_id") % 5 == 0, 429).otherwise(200)
-    )
+    ).withColumn("page_id", -F.col("page_id") - 1)
     listings = t.listings().withColumn(
         "html", F.when(F.col("seq") % 4 == 0, "<title>Just a moment...</title>").otherwise(F.col("html"))
     )

@@ -20,7 +20,7 @@ from webcatalog.sources.readers import read_pages
 # Strings of a page outside script, style, comments, nav and footer, in document order.
 _PARTS = """list_filter(list_transform(string_split_regex(
       regexp_replace({html}, '<!--.*?-->|<script.*?</script>|<style.*?</style>{more}', '<x>', 'gs'),
-      '<[^>]*>'), s -> trim(s)), s -> s <> '')"""
+      '<[^>]*>'), lambda s: trim(s)), lambda s: s <> '')"""
 _UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 CLEAN_SQL = _UNESCAPED.format(
     "array_to_string(" + _PARTS.format(html="html", more="|<nav>.*?</nav>|<footer>.*?</footer>") + ", chr(10))"
@@ -144,7 +144,7 @@ def prompts(t: Tables) -> DataFrame:
 def jsonld_sample(t: Tables) -> DataFrame:
     docs = P.with_documents(t.listings().select("page_id", "html"))
     return P.jsonld_sample(docs).select(
-        "page_id", F.array_join("jsonld_types", ",").alias("types"), F.substring("jsonld_sample", 1, 104).alias("sample")
+        "page_id", F.array_join("jsonld_types", ",").alias("types"), F.substring("jsonld_sample", 1, 101).alias("sample")
     )
 
 

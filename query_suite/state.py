@@ -10,19 +10,19 @@ from webcatalog.operators import changes as C
 from webcatalog.operators import state as S
 
 LOG_SQL = """log AS (
-  SELECT event_id AS seq, ts AS at, 'https://h' || user_id || '.example/p/' || (event_id % 500) AS url,
+  SELECT event_id AS seq, ts AS seen_at, 'https://h' || user_id || '.example/p/' || (event_id % 500) AS url,
     CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS status,
     CASE WHEN event_type = 'view' THEN 'category' ELSE 'product' END AS kind,
     'user ' || user_id AS source_category, value FROM events)"""
 # A third of the log (by hour of the day) has been queued before.
 QUEUE_SQL = f"""{LOG_SQL},
 old AS (SELECT url, min(seq) AS seq, arg_min(kind, seq) AS kind, arg_min(source_category, seq) AS source_category
-  FROM log WHERE hour(at) < 8 GROUP BY url),
+  FROM log WHERE hour(seen_at) < 8 GROUP BY url),
 new AS (SELECT url, min(seq) AS seq, arg_min(kind, seq) AS kind, arg_min(source_category, seq) AS source_category
-  FROM log WHERE hour(at) >= 8 GROUP BY url),
+  FROM log WHERE hour(seen_at) >= 8 GROUP BY url),
 queue AS (SELECT * FROM old UNION ALL SELECT * FROM new WHERE url NOT IN (SELECT url FROM old)),
 outcomes AS (SELECT url, count(*) AS tries, arg_max(status, seq) AS status FROM log
-  WHERE hour(at) BETWEEN 10 AND 12 GROUP BY url),
+  WHERE hour(seen_at) BETWEEN 10 AND 12 GROUP BY url),
 marked AS (SELECT queue.url, kind, coalesce(outcomes.status, 'pending') AS status, source_category,
   coalesce(tries, 0) AS attempts, seq FROM queue LEFT JOIN outcomes USING (url))"""
 
@@ -74,9 +74,9 @@ def cap_products(t: Tables) -> DataFrame:
     "dead_letters",
     f"""WITH {QUEUE_SQL},
        fails AS (SELECT url, arg_max('boom ' || seq, seq) AS error, max(seq) AS seq, count(*) AS n FROM log
-         WHERE status = 'failed' AND hour(at) >= 12 GROUP BY url),
+         WHERE status = 'failed' AND hour(seen_at) >= 12 GROUP BY url),
        before AS (SELECT url, arg_max('boom ' || seq, seq) AS error FROM log
-         WHERE status = 'failed' AND hour(at) < 12 GROUP BY url),
+         WHERE status = 'failed' AND hour(seen_at) < 12 GROUP BY url),
        letters AS (SELECT url, error FROM fails UNION ALL SELECT url, error FROM before WHERE url NOT IN (SELECT url FROM fails))
        SELECT letters.url, error, CASE WHEN fails.url IS NOT NULL THEN 'failed' ELSE 'pending' END AS status,
          CAST(coalesce(n, 0) AS INT) AS attempts
@@ -99,8 +99,8 @@ def dead_letters(t: Tables) -> DataFrame:
     "help_requests",
     f"""WITH {LOG_SQL},
        old AS (SELECT url, arg_max('r' || seq, seq) AS reason, max(seq) % 3 = 0 AS resolved FROM log
-         WHERE status = 'failed' AND hour(at) < 12 GROUP BY url),
-       new AS (SELECT url, arg_max('r' || seq, seq) AS reason FROM log WHERE status = 'failed' AND hour(at) >= 12 GROUP BY url)
+         WHERE status = 'failed' AND hour(seen_at) < 12 GROUP BY url),
+       new AS (SELECT url, arg_max('r' || seq, seq) AS reason FROM log WHERE status = 'failed' AND hour(seen_at) >= 12 GROUP BY url)
        SELECT url, coalesce(new.reason, old.reason) AS reason, coalesce(old.resolved, false) AS resolved
        FROM old FULL JOIN new USING (url)""",
 )
@@ -116,7 +116,7 @@ def help_requests(t: Tables) -> DataFrame:
 
 
 OBSERVED_SQL = """observed AS (
-  SELECT 'P' || l_partkey AS dedup_key, l_shipdate AS at, l_orderkey, l_linenumber, l_extendedprice AS price,
+  SELECT 'P' || l_partkey AS dedup_key, l_shipdate AS seen_at, l_orderkey, l_linenumber, l_extendedprice AS price,
     CASE WHEN l_returnflag = 'R' THEN 'out_of_stock' ELSE 'in_stock' END AS availability,
     CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'n' || l_suppkey END AS brand FROM lineitem)"""
 
@@ -135,7 +135,7 @@ def _observed(t: Tables) -> DataFrame:
     "upsert_products",
     f"""WITH {OBSERVED_SQL}, ranked AS (
          SELECT *, row_number() OVER (PARTITION BY dedup_key
-           ORDER BY at >= TIMESTAMP '1999-01-01' DESC, at DESC, l_orderkey DESC, l_linenumber DESC, price DESC) AS rn FROM observed)
+           ORDER BY seen_at >= TIMESTAMP '1999-01-01' DESC, seen_at DESC, l_orderkey DESC, l_linenumber DESC, price DESC) AS rn FROM observed)
        SELECT dedup_key, price, availability, brand FROM ranked WHERE rn = 1""",
 )
 def upsert_products(t: Tables) -> DataFrame:
@@ -153,7 +153,7 @@ def upsert_products(t: Tables) -> DataFrame:
     f"""WITH {OBSERVED_SQL}, lagged AS (
          SELECT *, lag(price) OVER w AS prev_price, lag(availability) OVER w AS prev_availability,
            row_number() OVER w = 1 AS is_first FROM observed
-         WINDOW w AS (PARTITION BY dedup_key ORDER BY at, l_orderkey, l_linenumber, price)),
+         WINDOW w AS (PARTITION BY dedup_key ORDER BY seen_at, l_orderkey, l_linenumber, price)),
        events AS (SELECT *, CASE WHEN is_first THEN 'new'
            WHEN availability = 'out_of_stock' AND prev_availability <> 'out_of_stock' THEN 'out_of_stock'
            WHEN price < prev_price THEN 'price_drop' WHEN price > prev_price THEN 'price_rise' END AS event FROM lagged)

@@ -95,14 +95,14 @@ def record_coverage(t: Tables) -> DataFrame:
        pages10 AS (SELECT DISTINCT page_id // 10 AS page_id FROM dirty),
        means AS (SELECT page_id // 10 AS page_id, avg(coverage) AS coverage, count(*) AS records FROM scored GROUP BY 1)
        SELECT page_id, coalesce(coverage, 0) AS coverage, CAST(coalesce(records, 0) AS BIGINT) AS records
-       FROM pages10 LEFT JOIN means USING (page_id) WHERE coalesce(coverage, 0) < 0.7""",
+       FROM pages10 LEFT JOIN means USING (page_id) WHERE coalesce(coverage, 0) < 0.73""",
 )
 def low_coverage_pages(t: Tables) -> DataFrame:
     # Ten records share a page here.
     grouped = (F.col("page_id") / 10).cast("long")
     scored = N.with_coverage(_valid(t)).withColumn("page_id", grouped)
     pages = t.part.select((F.col("p_partkey") / 10).cast("long").alias("page_id")).distinct()
-    return N.low_coverage_pages(pages, scored, 0.7)
+    return N.low_coverage_pages(pages, scored, 0.73)
 
 
 @query(

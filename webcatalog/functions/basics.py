@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,24 @@ from pyspark.sql import functions as F
 _SPACE = r"\s\x1c-\x1f\x85   -     　"
 
 
+def reusable(build: Callable) -> Callable:
+    """Keep what ``build(*args)`` returns for the life of the JVM.
+
+    For large column expressions over fixed column names: they are plain expression trees, and
+    assembling one takes far longer than using it again.
+    """
+    made: dict = {}
+
+    @functools.wraps(build)
+    def get(*args):
+        key = (id(SparkContext._active_spark_context._jvm), *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

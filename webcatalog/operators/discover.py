@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.functions.basics import blank_to_null, distinct_by, explode_rows, let
+from webcatalog.functions.basics import blank_to_null, distinct_by, explode_rows, let, reusable
 from webcatalog.functions.selectors import element_text, select
 from webcatalog.functions.urls import (
     abs_url,
@@ -38,11 +38,10 @@ _NO_STRINGS = "array<string>"
 _NO_LINKS = "array<struct<url: string, name: string>>"
 
 
-def _chosen(name: str, selectors: Column, discovery: Column) -> Column:
+def _chosen(name: str) -> Column:
     """Elements of the profile's own discovery selector; none without one."""
-    return select(
-        F.col("doc.elems"), F.try_element_at(selectors, F.try_element_at(discovery, F.lit(name)))
-    )
+    selector = F.try_element_at("discovery", F.lit(name))
+    return select(F.col("doc.elems"), F.try_element_at("selectors", selector))
 
 
 def _hrefs(elems: Column) -> Column:
@@ -206,17 +205,9 @@ def breadcrumb(doc: Column) -> Column:
     return F.coalesce(F.try_element_at(filled, F.lit(-1)), F.array().cast(_NO_STRINGS))
 
 
-def with_links(matched: DataFrame, next_pages: bool = True) -> DataFrame:
-    """Add ``product_urls``, ``subcategories``, ``breadcrumb`` and ``next_pages`` arrays.
-
-    Pages may carry ``discovery`` and ``selectors`` from their profile; without these columns
-    only the generic layers apply.
-    """
-    profiled = "discovery" in matched.columns
+@reusable
+def _link_columns(profiled: bool) -> dict[str, Column]:
     doc, url = F.col("doc"), F.col("url")
-    none = F.slice("doc.elems", 1, 0)
-    selectors, discovery = F.col("selectors") if profiled else None, F.col("discovery") if profiled else None
-    chosen = _chosen("product_link", selectors, discovery) if profiled else none
     urls_of = lambda elems: let(
         split_url(url), lambda top: F.transform(_hrefs(elems), lambda h: abs_url(h, top))
     )
@@ -226,10 +217,9 @@ def with_links(matched: DataFrame, next_pages: bool = True) -> DataFrame:
         & F.coalesce(F.try_element_at(e["attrs"], F.lit("href")).contains("/product/"), F.lit(False)),
     )
     listed = lambda entries, kind: F.filter(entries, lambda x: x["kind"] == kind)
-    staged = matched.withColumn("_entries", list_entries(doc, url))
-    listed_urls = F.concat(
-        urls_of(chosen), F.transform(listed(F.col("_entries"), "product"), lambda x: x["url"])
-    )
+    listed_urls = F.transform(listed(F.col("_entries"), "product"), lambda x: x["url"])
+    if profiled:
+        listed_urls = F.concat(urls_of(_chosen("product_link")), listed_urls)
     products = let(
         listed_urls, lambda us: F.when(F.size(us) > 0, us).otherwise(urls_of(fallback))
     )
@@ -239,16 +229,34 @@ def with_links(matched: DataFrame, next_pages: bool = True) -> DataFrame:
             lambda x: F.struct(x["url"].alias("url"), x["name"].alias("name")),
         )
     )
-    out = staged.withColumns(
-        {
-            "product_urls": F.coalesce(F.array_distinct(products), F.array().cast(_NO_STRINGS)),
-            "subcategories": F.coalesce(subs, F.array().cast(_NO_LINKS)),
-            "breadcrumb": breadcrumb(doc),
-        }
-    )
+    return {
+        "product_urls": F.coalesce(F.array_distinct(products), F.array().cast(_NO_STRINGS)),
+        "subcategories": F.coalesce(subs, F.array().cast(_NO_LINKS)),
+        "breadcrumb": breadcrumb(doc),
+    }
+
+
+@reusable
+def _entries_column() -> Column:
+    return list_entries(F.col("doc"), F.col("url"))
+
+
+@reusable
+def _next_column(profiled: bool) -> Column:
+    chosen = _chosen("next_page") if profiled else F.slice("doc.elems", 1, 0)
+    return next_page_urls(F.col("doc"), F.col("url"), chosen)
+
+
+def with_links(matched: DataFrame, next_pages: bool = True) -> DataFrame:
+    """Add ``product_urls``, ``subcategories``, ``breadcrumb`` and ``next_pages`` arrays.
+
+    Pages may carry ``discovery`` and ``selectors`` from their profile; without these columns
+    only the generic layers apply.
+    """
+    profiled = "discovery" in matched.columns
+    out = matched.withColumn("_entries", _entries_column()).withColumns(_link_columns(profiled))
     if next_pages:
-        chosen_next = _chosen("next_page", selectors, discovery) if profiled else none
-        out = out.withColumn("next_pages", next_page_urls(doc, url, chosen_next))
+        out = out.withColumn("next_pages", _next_column(profiled))
     return out.drop("_entries")
 
 
@@ -271,16 +279,8 @@ def discover_links(matched: DataFrame) -> DataFrame:
 
 
 def find_next_pages(matched: DataFrame) -> DataFrame:
-    profiled = "discovery" in matched.columns
-    chosen = (
-        _chosen("next_page", F.col("selectors"), F.col("discovery"))
-        if profiled
-        else F.slice("doc.elems", 1, 0)
-    )
-    staged = matched.select(
-        "page_id", F.col("url").alias("page_url"),
-        next_page_urls(F.col("doc"), F.col("url"), chosen).alias("urls"),
-    )
+    urls = _next_column("discovery" in matched.columns)
+    staged = matched.select("page_id", F.col("url").alias("page_url"), urls.alias("urls"))
     return explode_rows(staged, ["page_id", "page_url"], "urls", "pos", "url")
 
 

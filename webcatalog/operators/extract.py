@@ -19,6 +19,7 @@ from webcatalog.functions.basics import (
     first_where,
     last_wins_map,
     let,
+    reusable,
     strip,
 )
 from webcatalog.functions.selectors import element_text, element_value, inside, select
@@ -167,23 +168,27 @@ def css_value(rule: Column, hits: Column, texts: Column, scope: Column) -> Colum
     return let(F.filter(hit(rule["selector"]), lambda e: inside(e, scope)), of)
 
 
-def plan_pages(matched: DataFrame) -> DataFrame:
-    """Add ``mode`` (nodes, items, one, none) and, for item pages, the ``items`` elements."""
+@reusable
+def _mode() -> Column:
     has_products = F.exists("doc.nodes", lambda n: F.array_contains(n["types"], "Product"))
-    mode = (
+    return (
         F.when(F.col("rules").isNull(), None)
         .when(F.col("cardinality") != "many", "one")
         .when(has_products, "nodes")
         .when(F.coalesce(F.col("item_selector"), F.lit("")) != "", "items")
         .otherwise("none")
     )
-    return matched.withColumn("mode", mode).withColumn(
-        "items",
-        F.when(
-            F.col("mode") == "items",
-            select(F.col("doc.elems"), F.try_element_at("selectors", F.col("item_selector"))),
-        ),
-    )
+
+
+@reusable
+def _items() -> Column:
+    steps = F.try_element_at("selectors", F.col("item_selector"))
+    return F.when(F.col("mode") == "items", select(F.col("doc.elems"), steps))
+
+
+def plan_pages(matched: DataFrame) -> DataFrame:
+    """Add ``mode`` (nodes, items, one, none) and, for item pages, the ``items`` elements."""
+    return matched.withColumn("mode", _mode()).withColumn("items", _items())
 
 
 def extraction_notes(matched: DataFrame) -> DataFrame:
@@ -209,38 +214,33 @@ def extraction_notes(matched: DataFrame) -> DataFrame:
     return explode_rows(staged, ["page_id", "url"], "notes", "note_no", "note").drop("note_no")
 
 
-def extract_records(
-    matched: DataFrame, regex: bool | None = None, keep_empty: bool = False
-) -> DataFrame:
-    """Raw records of pages that carry a document and a compiled profile.
+def _regex_rules() -> Column:
+    return F.filter("rules", lambda r: r["value"]["source"] == "regex")
 
-    Output: the page's own columns, ``rec_no``, ``tier`` and ``fields map<string, variant>``.
-    ``regex=False`` leaves the Arrow step for regex rules out of the plan. ``keep_empty`` keeps
-    a row (with null ``rec_no``) for pages without any record.
-    """
-    planned = plan_pages(matched)
-    if not keep_empty:
-        planned = planned.where("mode is not null")
-    elems, texts = F.col("doc.elems"), F.col("doc.texts")
-    rules = F.filter("rules", lambda r: r["value"]["source"] == "regex")
-    if regex is not False:
-        page_text = F.array(F.array_join(texts, " "))
-        item_texts = F.transform("items", lambda e: element_text(texts, e))
-        searched = F.when(
-            F.size(rules) > 0, F.when(F.col("mode") == "items", item_texts).otherwise(page_text)
-        )
-        planned = planned.withColumn(
-            "regex_values",
-            regex_values(
-                searched,
-                F.transform(rules, lambda r: r["value"]["pattern"]),
-                F.transform(rules, lambda r: F.coalesce(r["value"]["group"], F.lit(1))),
-            ),
-        )
-    else:
-        planned = planned.withColumn("regex_values", F.lit(None).cast("array<array<string>>"))
 
-    item_mode = F.col("mode") == "items"
+def _searched(planned: DataFrame) -> DataFrame:
+    """Add ``regex_values``: per scope text (page or item) the value of each regex rule."""
+    rules, texts = _regex_rules(), F.col("doc.texts")
+    item_texts = F.transform("items", lambda e: element_text(texts, e))
+    scope_texts = F.when(F.col("mode") == "items", item_texts).otherwise(
+        F.array(F.array_join(texts, " "))
+    )
+    values = regex_values(
+        F.when(F.size(rules) > 0, scope_texts),
+        F.transform(rules, lambda r: r["value"]["pattern"]),
+        F.transform(rules, lambda r: F.coalesce(r["value"]["group"], F.lit(1))),
+    )
+    return planned.withColumn("regex_values", values)
+
+
+@reusable
+def _records() -> Column:
+    """Array of field maps of a planned page, one per scope.
+
+    A scope is what a record is read from: a Product node (with the whole page for CSS rules)
+    or an item element. Selectors are matched once per page and cut to each scope.
+    """
+    elems, texts, item_mode = F.col("doc.elems"), F.col("doc.texts"), F.col("mode") == "items"
     nothing = F.lit(None).cast("variant")
     scope = lambda idx, tail, node, at: F.struct(
         idx.alias("idx"), tail.alias("tail"), node.alias("node"), at.alias("at")
@@ -253,18 +253,17 @@ def extract_records(
     scopes = F.when(
         item_mode, F.transform("items", lambda e, i: scope(e["idx"], e["tail"], nothing, i))
     ).when(F.col("mode").isin("nodes", "one"), F.transform(nodes, page_scope))
+    regex_fields = F.transform(_regex_rules(), lambda r: r["key"])
 
     def field(rule: Column, page: Column, sc: Column) -> Column:
-        body, hits = rule["value"], page["hits"]
+        body = rule["value"]
         source = F.coalesce(body["source"], F.when(item_mode, "css").otherwise("jsonld"))
-        at = F.array_position(F.transform(rules, lambda r: r["key"]), rule["key"]).cast("int") - 1
+        at = F.array_position(page["regex_fields"], rule["key"]).cast("int") - 1
+        found = F.get(F.get(page["regex_values"], sc["at"]), at)
         return (
             F.when((source == "jsonld") & ~item_mode, jsonld_path(sc["node"], body["path"]))
-            .when(source.isin("css", "attr"), css_value(body, hits, texts, sc))
-            .when(
-                source == "regex",
-                variant(F.get(F.get(page["regex_values"], sc["at"]), at)),
-            )
+            .when(source.isin("css", "attr"), css_value(body, page["hits"], texts, sc))
+            .when(source == "regex", variant(found))
         )
 
     def record(page: Column, sc: Column) -> Column:
@@ -272,20 +271,46 @@ def extract_records(
         values = F.transform(
             "rules", lambda r: F.struct(r["key"].alias("key"), field(r, page, sc).alias("value"))
         )
-        default = F.array(
-            F.struct(F.lit("product_url").alias("key"), variant(F.col("url")).alias("value"))
-        )
+        default = F.struct(F.lit("product_url").alias("key"), variant(F.col("url")).alias("value"))
         named = F.exists("rules", lambda r: r["key"] == "product_url")
-        return F.map_from_entries(F.when(named, values).otherwise(F.concat(values, default)))
+        return F.map_from_entries(
+            F.when(named, values).otherwise(F.concat(values, F.array(default)))
+        )
 
     hits = F.transform_values("selectors", lambda _, steps: select(elems, steps))
-    page = F.struct(hits.alias("hits"), F.col("regex_values"))
-    records = let(page, lambda p: F.transform(scopes, lambda sc: record(p, sc)))
-    dropped = ["doc", "mode", "items", "regex_values", "rules", "selectors", "glob_regex",
-               "url_glob", "item_selector", "discovery", "cardinality", "template_signature",
-               "last_validated", "ttl_hours", "version", "profile_tier"]
-    kept = [c for c in matched.columns if c not in dropped]
-    staged = planned.select(*kept, F.col("profile_tier").alias("tier"), records.alias("records"))
+    page = F.struct(
+        hits.alias("hits"), F.col("regex_values"), regex_fields.alias("regex_fields")
+    )
+    return let(page, lambda p: F.transform(scopes, lambda sc: record(p, sc)))
+
+
+_PLAN_COLUMNS = [
+    "doc", "mode", "items", "regex_values", "rules", "selectors", "glob_regex", "url_glob",
+    "item_selector", "discovery", "cardinality", "template_signature", "last_validated",
+    "ttl_hours", "version", "profile_tier",
+]
+
+
+def extract_records(
+    matched: DataFrame, regex: bool | None = None, keep_empty: bool = False
+) -> DataFrame:
+    """Raw records of pages that carry a document and a compiled profile.
+
+    Output: the page's own columns, ``rec_no``, ``tier`` and ``fields map<string, variant>``.
+    ``regex=False`` leaves the Arrow step for regex rules out of the plan. ``keep_empty`` keeps
+    a row (with null ``rec_no``) for pages without any record.
+    """
+    planned = plan_pages(matched)
+    if not keep_empty:
+        planned = planned.where("mode is not null")
+    if regex is False:
+        planned = planned.withColumn("regex_values", F.lit(None).cast("array<array<string>>"))
+    else:
+        planned = _searched(planned)
+    kept = [c for c in matched.columns if c not in _PLAN_COLUMNS]
+    staged = planned.select(
+        *kept, F.col("profile_tier").alias("tier"), _records().alias("records")
+    )
     exploded = staged.select(
         *kept, "tier", F.posexplode_outer("records").alias("rec_no", "fields")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.functions.basics import blank_to_null, let, strip
+from webcatalog.functions.basics import blank_to_null, let, reusable, strip
 from webcatalog.functions.urls import abs_url, split_url
 from webcatalog.functions.values import (
     as_text,
@@ -32,57 +32,58 @@ _RAW_FIELDS = [
 ]
 
 
-def _reason(name_ok: Column) -> Column:
+@reusable
+def _reason() -> Column:
     """Why a record is not a valid product; null for a valid one."""
     bad_member = lambda items, *keys: F.exists(
         items,
         lambda x: F.exists(F.array(*[view(member(x["v"], k)) for k in keys]), not_text),
     )
-    wrong = {f: not_text(F.col(f"_{f}")) for f in ("sku", "brand", "description", "pack_size")}
-    wrong |= {f: not_text(F.col(f"_{f}")) for f in ("item_number", "currency", "product_url")}
+    plain = ("sku", "brand", "description", "pack_size", "item_number", "currency", "product_url")
+    wrong = {f: not_text(F.col(f"_{f}")) for f in plain}
     wrong["image_urls"] = F.exists("_images", lambda x: truthy(x) & not_text(x))
     wrong["variants"] = bad_member("_variants", "sku", "pack", "pack_size")
     wrong["alternatives"] = bad_member("_alternatives", "name", "sku")
-    reason = F.when(~name_ok, F.lit("record has no product name"))
+    named = F.coalesce(F.col("_name_text") != "", F.lit(False))
+    reason = F.when(~named, F.lit("record has no product name"))
     for field, failed in wrong.items():
         reason = reason.when(failed, F.lit(f"type:{field}"))
     return reason
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Products of raw records, plus ``reason`` for rows that are not valid products.
+@reusable
+def _views() -> list[Column]:
+    """One view per raw field, so each value is typed and read once."""
+    return [view(F.try_element_at("fields", F.lit(f))).alias(f"_{f}") for f in _RAW_FIELDS]
 
-    Input: ``page_url``, ``source_category``, ``tier``, ``fields map<string, variant>``; other
-    columns pass through. ``reason`` is ``record has no product name`` or ``type:<field>``
-    (a text field holding something else).
-    """
-    passed = [c for c in raw.columns if c not in ("fields", "tier", "page_url", "source_category")]
-    kept = [*passed, "tier", "page_url", "source_category"]
-    seen = raw.select(
-        *kept, *[view(F.try_element_at("fields", F.lit(f))).alias(f"_{f}") for f in _RAW_FIELDS]
-    )
+
+@reusable
+def _parts() -> dict[str, Column]:
     objects = lambda name: F.filter(to_list(F.col(name)), lambda x: x["kind"] == "OBJ")
     own_url = F.when(is_text(F.col("_product_url")), F.col("_product_url.text"))
-    staged = seen.withColumns(
-        {
-            "_name_text": F.when(truthy(F.col("_name")), strip(text_of(F.col("_name")))),
-            "_item_number": first_truthy(F.col("_item_number"), F.col("_sku")),
-            "_currency": first_truthy(F.col("_currency")),
-            "_product_url": first_truthy(F.col("_product_url")),
-            "_sku_text": blank_to_null(strip(F.col("_sku.text"))),
-            "_images": to_list(F.col("_image_urls")),
-            "_variants": objects("_variants"),
-            "_alternatives": objects("_alternatives"),
-            "_base": F.coalesce(
-                blank_to_null(F.col("page_url")), blank_to_null(own_url), F.lit("")
-            ),
-        }
-    )
-    staged = staged.withColumn("_top", split_url(F.col("_base")))
+    base = F.coalesce(blank_to_null(F.col("page_url")), blank_to_null(own_url), F.lit(""))
+    return {
+        "_name_text": F.when(truthy(F.col("_name")), strip(text_of(F.col("_name")))),
+        "_item_number": first_truthy(F.col("_item_number"), F.col("_sku")),
+        "_currency": first_truthy(F.col("_currency")),
+        "_product_url": first_truthy(F.col("_product_url")),
+        "_sku_text": blank_to_null(strip(F.col("_sku.text"))),
+        "_images": to_list(F.col("_image_urls")),
+        "_variants": objects("_variants"),
+        "_alternatives": objects("_alternatives"),
+        "_top": split_url(base),
+    }
+
+
+@reusable
+def _location() -> Column:
+    top = F.col("_top")
+    return F.coalesce(abs_url(F.col("_product_url.text"), top), top["raw"])
+
+
+@reusable
+def _product() -> list[Column]:
     top = F.col("_top")
-    located = staged.withColumn(
-        "_url", F.coalesce(abs_url(F.col("_product_url.text"), top), F.col("_base"))
-    )
     variant_items = F.transform(
         "_variants",
         lambda x: F.struct(
@@ -112,16 +113,14 @@ def normalize(raw: DataFrame) -> DataFrame:
     images = F.filter(
         F.transform("_images", lambda x: abs_url(x["text"], top)), lambda u: u.isNotNull()
     )
-    return located.select(
-        *passed,
-        _reason(F.coalesce(F.col("_name_text") != "", F.lit(False))).alias("reason"),
+    return [
         dedup_key(F.col("_sku_text"), F.col("_url")).alias("dedup_key"),
         F.col("_name_text").alias("name"),
         F.col("_sku_text").alias("sku"),
         F.col("_item_number.text").alias("item_number"),
         blank_to_null(strip(F.col("_brand.text"))).alias("brand"),
         category_path(F.col("_category"), F.col("source_category")).alias("category_path"),
-        "source_category",
+        F.col("source_category"),
         F.col("_url").alias("product_url"),
         to_float(F.col("_price")).alias("price"),
         F.coalesce(F.col("_currency.text"), F.lit("USD")).alias("currency"),
@@ -134,7 +133,23 @@ def normalize(raw: DataFrame) -> DataFrame:
         variant_items.alias("variants"),
         alternative_items.alias("alternatives"),
         F.col("tier").alias("extraction_tier"),
-    )
+    ]
+
+
+def normalize(raw: DataFrame) -> DataFrame:
+    """Products of raw records, plus ``reason`` for rows that are not valid products.
+
+    Input: ``page_url``, ``source_category``, ``tier``, ``fields map<string, variant>``; other
+    columns pass through. ``reason`` is ``record has no product name`` or ``type:<field>``
+    (a text field holding something else).
+    """
+    passed = [c for c in raw.columns if c not in ("fields", "tier", "page_url", "source_category")]
+    seen = raw.select(*passed, "tier", "page_url", "source_category", *_views())
+    located = seen.withColumns(_parts()).withColumn("_url", _location())
+    # The reason goes through a one-row generator: a filter on it then stays above this point
+    # instead of being rewritten down to the raw values, which would evaluate all of this twice.
+    judged = located.select("*", F.explode(F.array(_reason())).alias("reason"))
+    return judged.select(*passed, "reason", *_product())
 
 
 def valid(normalized: DataFrame) -> DataFrame:
