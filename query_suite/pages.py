@@ -21,7 +21,10 @@ from webcatalog.sources.readers import read_pages
 _PARTS = """list_filter(list_transform(string_split_regex(
       regexp_replace({html}, '<!--.*?-->|<script.*?</script>|<style.*?</style>{more}', '<x>', 'gs'),
       '<[^>]*>'), lambda s: trim(s)), lambda s: s <> '')"""
-_UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_UNESCAPED = (
+    "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
+    " '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+)
 CLEAN_SQL = _UNESCAPED.format(
     "array_to_string(" + _PARTS.format(html="html", more="|<nav>.*?</nav>|<footer>.*?</footer>") + ", chr(10))"
 )

@@ -40,13 +40,13 @@ def listing_url(slug: Column, page: Column) -> Column:
 
 def _with_pages(parts: DataFrame) -> DataFrame:
     """Add the listing page of each part (1-based) and whether a further page exists."""
-    last = parts.agg(F.max("p_partkey").alias("last_key"))
-    return (
-        parts.crossJoin(F.broadcast(last))  # one row
-        .withColumn("page", (F.col("p_partkey") / PAGE_RANGE).cast("int") + 1)
-        .withColumn("last_page", (F.col("last_key") / PAGE_RANGE).cast("int") + 1)
-        .withColumn("slug", _brand_slug())
-        .drop("last_key")
+    last_key = parts.agg(F.max("p_partkey")).scalar()
+    return parts.withColumns(
+        {
+            "page": (F.col("p_partkey") / PAGE_RANGE).cast("int") + 1,
+            "last_page": (last_key / PAGE_RANGE).cast("int") + 1,
+            "slug": _brand_slug(),
+        }
     )
 
 

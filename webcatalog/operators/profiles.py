@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from webcatalog.functions.selectors import SELECTOR_ARROW, SELECTOR_DDL, compile_selector
 from webcatalog.functions.urls import domain_of, url_path
 from webcatalog.functions.values import is_expired
+from webcatalog.sources.local import broadcast_if_small
 
 _COMPILED_DDL = f"struct<glob: string, selectors: map<string, {SELECTOR_DDL}>>"
 _COMPILED = pa.struct(
@@ -135,7 +136,7 @@ def match_templates(pages: DataFrame, compiled: DataFrame, template: Column) ->
         pages.withColumn("domain", domain_of(F.col("url")))
         .withColumn("wanted_template", template)
         .withColumn("path", path)
-        .join(choices, "domain", "left")
+        .join(broadcast_if_small(choices), "domain", "left")
         .withColumn(
             "template",
             F.when(exact, F.col("wanted_template")).otherwise(F.array_min(ranked)["template"]),
@@ -147,7 +148,7 @@ def match_templates(pages: DataFrame, compiled: DataFrame, template: Column) ->
 def match_profiles(pages: DataFrame, compiled: DataFrame, template: Column) -> DataFrame:
     """Left join of pages with their profile (see :func:`match_templates`)."""
     return match_templates(pages, compiled, template).join(
-        compiled, ["domain", "template"], "left"
+        broadcast_if_small(compiled), ["domain", "template"], "left"
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webcatalog.functions.basics import blank_to_null, strip
 from webcatalog.schemas import CATALOG_COVERAGE_FIELDS, REPORT_COLUMNS
+from webcatalog.sources.local import broadcast_if_small
 
 # Fixed pattern of a result count in page source.
 TOTAL_TEXT = r"(?i)\b(\d{2,6})\s*(?:products|items|results)\b"
@@ -127,7 +128,7 @@ def signature_drift(signed: DataFrame) -> DataFrame:
     )
     expected = F.coalesce("template_signature", "pinned")
     return (
-        signed.join(pins, ["domain", "template"], "left")
+        signed.join(broadcast_if_small(pins), ["domain", "template"], "left")
         .withColumn("expected", expected)
         .where(F.col("signature") != F.col("expected"))
         .select("domain", "template", "url", "expected", F.col("signature").alias("observed"))
@@ -151,42 +152,33 @@ def run_summary(
     ``listing`` per stored record. Detail pages do not enter the mean coverage but their
     records do count as low-coverage ones.
     """
-    count = lambda df: df.agg(F.count("*").alias("n")) if df is not None else None
-    pages = fetches.agg(
+    zero = F.lit(0).cast("long")
+    total = lambda df: df.agg(F.count("*")).scalar() if df is not None else zero
+    stored = F.col("listing")
+    parts = {
+        "products_stored": records.agg(F.count_if(stored)).scalar(),
+        "avg_coverage": records.agg(
+            F.round(F.coalesce(F.avg(F.when(stored, F.col("coverage"))), F.lit(0.0)), 3)
+        ).scalar(),
+        "low_coverage_records": records.agg(F.count_if("low_coverage")).scalar(),
+        "validation_failures": rejects.agg(
+            F.count_if(F.col("reason") == "record has no product name")
+        ).scalar(),
+        "type_failures": rejects.agg(F.count_if(F.col("reason").startswith("type:"))).scalar(),
+        "signature_drifts": total(drifts),
+        "dead_letters": total(letters),
+        "manual_help_requests": total(requests),
+        "products_found": total(links.where("kind = 'product'") if links is not None else None),
+        "cache_hits": total(matches.where("template is not null") if matches is not None else None),
+        "cache_misses": total(matches.where("template is null") if matches is not None else None),
+        "llm_invocations": F.lit(invocations).cast("long"),
+    }
+    return fetches.agg(
         F.min("at").alias("started_at"), F.max("at").alias("finished_at"),
         F.count_if("fetched").alias("pages_fetched"),
         F.count_if(F.col("ok") & (F.col("kind") == "category")).alias("categories_done"),
         F.count_if("blocked").alias("blocked"),
-    )
-    stored = records.agg(
-        F.count_if("listing").alias("products_stored"),
-        F.round(F.coalesce(F.avg(F.when(F.col("listing"), F.col("coverage"))), F.lit(0.0)), 3).alias("avg_coverage"),
-        F.count_if("low_coverage").alias("low_coverage_records"),
-    )
-    # Every part is a single row: joining them is a concatenation, not a product.
-    row = pages.join(stored, how="cross")
-    sizes = {
-        "validation_failures": rejects.where("reason = 'record has no product name'"),
-        "type_failures": rejects.where("reason like 'type:%'"),
-        "signature_drifts": drifts, "dead_letters": letters, "manual_help_requests": requests,
-        "products_found": links.where("kind = 'product'") if links is not None else None,
-    }
-    for name, df in sizes.items():
-        part = count(df)
-        row = (
-            row.withColumn(name, F.lit(0).cast("long"))
-            if part is None
-            else row.join(part.withColumnRenamed("n", name), how="cross")
-        )
-    if matches is not None:
-        hits = matches.agg(
-            F.count_if(F.col("template").isNotNull()).alias("cache_hits"),
-            F.count_if(F.col("template").isNull()).alias("cache_misses"),
-        )
-        row = row.join(hits, how="cross")
-    else:
-        row = row.withColumns({"cache_hits": F.lit(0).cast("long"), "cache_misses": F.lit(0).cast("long")})
-    return row.withColumn("llm_invocations", F.lit(invocations).cast("long"))
+    ).withColumns(parts)
 
 
 def stats_report(products: DataFrame, letters: DataFrame, requests: DataFrame) -> DataFrame:

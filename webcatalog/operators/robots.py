@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webcatalog.functions.basics import first_where
 from webcatalog.functions.urls import url_host, url_path, url_query, url_scheme
+from webcatalog.sources.local import broadcast_if_small
 
 _RULES_DDL = "struct<rules: array<struct<path: string, allow: boolean>>, delay: double>"
 _RULES = pa.struct(
@@ -62,7 +63,9 @@ def with_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(url_path(F.col("url")) == "", "/").otherwise(url_path(F.col("url"))),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
     )
-    joined = urls.withColumn("host", _host_key()).withColumn("_path", path).join(rules, "host", "left")
+    joined = urls.withColumn("host", _host_key()).withColumn("_path", path).join(
+        broadcast_if_small(rules), "host", "left"
+    )
     hit = first_where(
         F.col("rules"), lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])
     )

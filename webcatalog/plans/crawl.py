@@ -118,14 +118,14 @@ def crawl_archive(
         status = F.when(F.col("error").isNull(), "done").otherwise("failed")
         return _shaped(outcome, status)
     # The cap is a small number, so its boundary row is found by a top-k, not a full sort.
-    done = outcome.where("error is null").select(F.struct("hop", "path").alias("at"))
-    edge = done.orderBy("at").limit(cap).agg(F.max("at").alias("edge"), F.count("*").alias("n"))
     at = F.struct("hop", "path")
-    beyond = (F.col("n") >= cap) & (F.lit(cap <= 0) | (at > F.col("edge")))
+    first = outcome.where("error is null").select(at.alias("at")).orderBy("at").limit(cap)
+    full = first.agg(F.count("*")).scalar() >= cap
+    beyond = full & (F.lit(cap <= 0) | (at > first.agg(F.max("at")).scalar()))
     status = F.when(F.coalesce(beyond, F.lit(False)), "pending").otherwise(
         F.when(F.col("error").isNull(), "done").otherwise("failed")
     )
-    return _shaped(outcome.join(F.broadcast(edge), how="cross"), status)  # edge is one row
+    return _shaped(outcome, status)
 
 
 def _shaped(outcome: DataFrame, status: Column) -> DataFrame:

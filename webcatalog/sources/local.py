@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
+AUTO_LIMIT = 10 * 1024 * 1024  # below this Spark broadcasts by itself
 
 
 def _arrow(value, kind: pa.DataType):
@@ -37,12 +38,8 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     Where the optimizer already knows the side is under its own threshold nothing is run.
     A side that does not fit is returned as it is, for a shuffled join that AQE splits on skew.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    threshold = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
-    auto = threshold.byteStringAsBytes(
-        df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")
-    )
-    if plan.stats().sizeInBytes().bigInteger().longValueExact() <= auto:
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) <= AUTO_LIMIT:
         return df
     text = F.length(F.to_json(F.struct(*df.columns)))
     size = df.agg(F.sum(text + 64)).first()[0] or 0
