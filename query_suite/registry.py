@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webcatalog import fixtures
 from webcatalog.operators.profiles import compile_profiles
 from webcatalog.session import ship_package
+from webcatalog.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +29,7 @@ class Tables:
 
     @property
     def part(self) -> DataFrame:
-        return self.read("part")
+        return spread(self.read("part"))  # rendering and parsing pages is CPU work
 
     def profiles(self) -> DataFrame:
         return compile_profiles(fixtures.profiles(self.spark))

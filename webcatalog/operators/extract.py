@@ -41,22 +41,30 @@ def product_nodes(doc: Column) -> Column:
     return let(typed_nodes(doc, "Product"), lambda nodes: distinct_by(nodes, key))
 
 
-def jsonld_path(node: Column, path: Column) -> Column:
-    """Follow a dotted path; a list on the way stands for its first item."""
-    tokens = F.split(F.coalesce(path, F.lit("")), r"\.")
-    steps = F.when(F.lower(F.get(tokens, F.lit(0))) == "product", F.slice(tokens, 2, F.size(tokens)))
-    quoted = lambda t: F.when(
-        t.contains('"'), F.concat(F.lit("['"), t, F.lit("']"))
-    ).otherwise(F.concat(F.lit('["'), t, F.lit('"]')))
-    found = F.aggregate(
-        F.coalesce(steps, tokens),
-        node,
-        lambda cur, t: F.coalesce(
-            F.try_variant_get(cur, F.concat(F.lit("$"), quoted(t)), "variant"),
-            F.try_variant_get(cur, F.concat(F.lit("$[0]"), quoted(t)), "variant"),
-        ),
+def _members(v: Column) -> Column:
+    """Members of a JSON object, or of the first item of a list."""
+    return F.coalesce(
+        F.try_variant_get(v, "$", "map<string, variant>"),
+        F.try_variant_get(v, "$[0]", "map<string, variant>"),
     )
-    return F.when(~F.is_variant_null(found), found)
+
+
+def jsonld_path(members: Column, path: Column) -> Column:
+    """Follow a dotted path from a node's members; a list on the way stands for its first item.
+
+    Works on member maps: a path built per row would have to be parsed again for every value.
+    """
+    tokens = F.split(F.coalesce(path, F.lit("")), r"\.")
+    named = F.lower(F.get(tokens, F.lit(0))) == "product"
+    steps = F.when(named, F.slice(tokens, 2, 1 << 30)).otherwise(tokens)
+
+    def follow(keys: Column) -> Column:
+        first = F.try_element_at(members, F.get(keys, F.lit(0)))
+        return F.aggregate(
+            F.slice(keys, 2, 1 << 30), first, lambda cur, key: F.try_element_at(_members(cur), key)
+        )
+
+    return let(let(steps, follow), lambda found: F.when(~F.is_variant_null(found), found))
 
 
 def _regex_values(texts: pa.Array, patterns: pa.Array, groups: pa.Array) -> pa.Array:
@@ -243,7 +251,7 @@ def _records() -> Column:
     elems, texts, item_mode = F.col("doc.elems"), F.col("doc.texts"), F.col("mode") == "items"
     nothing = F.lit(None).cast("variant")
     scope = lambda idx, tail, node, at: F.struct(
-        idx.alias("idx"), tail.alias("tail"), node.alias("node"), at.alias("at")
+        idx.alias("idx"), tail.alias("tail"), _members(node).alias("members"), at.alias("at")
     )
     page_scope = lambda node: scope(F.lit(-1), F.lit(2**31 - 1), node, F.lit(0))
     nodes = let(
@@ -261,7 +269,7 @@ def _records() -> Column:
         at = F.array_position(page["regex_fields"], rule["key"]).cast("int") - 1
         found = F.get(F.get(page["regex_values"], sc["at"]), at)
         return (
-            F.when((source == "jsonld") & ~item_mode, jsonld_path(sc["node"], body["path"]))
+            F.when((source == "jsonld") & ~item_mode, jsonld_path(sc["members"], body["path"]))
             .when(source.isin("css", "attr"), css_value(body, page["hits"], texts, sc))
             .when(source == "regex", variant(found))
         )

@@ -22,6 +22,8 @@ def build_session(app: str = "webcatalog", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
         "spark.ui.enabled": "false",
+        # Methods beyond what the JIT compiles run slower than plain expression evaluation.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # Call-site capture makes building large column expressions slow.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
