@@ -77,7 +77,7 @@ def _clean_path(segments: Column) -> Column:
 def _merged_segments(base_path: Column, path: Column) -> Column:
     # The base without its last segment, then the reference; empty segments only count at
     # either end of a merged path.
-    folder = F.coalesce(blank_to_null(F.regexp_replace(base_path, "[^/]*$", "")), F.lit("/"))
+    folder = F.when(base_path == "", "/").otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
     joined = F.regexp_replace(F.concat(folder, path), "/{2,}", "/")
     return F.split(F.when(path.startswith("/"), path).otherwise(joined), "/")
 

@@ -32,7 +32,10 @@ def glob_to_regex(glob: str | None) -> str | None:
         elif close > 0:
             body, at = glob[at:close], close + 1
             negated, body = ("^", body[1:]) if body.startswith("!") else ("", body)
-            out += f"[{negated}{re.sub(r'([&^~\\[\\]\\\\])', r'\\\\\1', body)}]"
+            # An inverted range holds no character, so it is dropped.
+            body = re.sub(r"(.)-(.)", lambda m: m.group() if m[1] <= m[2] else "", body)
+            inner = re.sub(r"[^\w-]", lambda m: "\\" + m.group(), body, flags=re.ASCII)
+            out += f"[{negated}{inner}]" if inner else ("." if negated else "(?!)")
         else:
             out += re.sub(r"[^\w/]", lambda m: "\\" + m.group(), char, flags=re.ASCII)
     return rf"(?s)\A{out}\z"
