@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcatalog.schemas import RULE_DDL
+from webcatalog.schemas import RECIPE_DDL, RULE_DDL
+from webcatalog.sources.local import BROADCAST_LIMIT, local_table
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -44,22 +47,15 @@ _PROFILE_FILE_DDL = (
 )
 
 
-def _json_files(spark: SparkSession, root: str, ddl: str, hidden: bool) -> DataFrame:
-    files = (
-        spark.read.schema(ddl)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .json(root)
-        .withColumn("_file", F.input_file_name())
-    )
-    is_hidden = F.regexp_like("_file", F.lit("/_[^/]*$"))
-    return files.where(is_hidden if hidden else ~is_hidden)
+def _json_files(spark: SparkSession, root: str, ddl: str) -> DataFrame:
+    # File sources skip names that start with ``_``, so recipes never show up as profiles.
+    reader = spark.read.schema(ddl).option("multiLine", True).option("recursiveFileLookup", True)
+    return reader.option("pathGlobFilter", "*.json").json(root)
 
 
 def read_profiles(spark: SparkSession, root: str) -> DataFrame:
     """Profile documents ``<domain>/<template>.json``; unknown keys are dropped."""
-    files = _json_files(spark, root, _PROFILE_FILE_DDL, hidden=False)
+    files = _json_files(spark, root, _PROFILE_FILE_DDL)
     filled = files.withColumns(
         {
             "url_glob": F.col("match.url_glob"),
@@ -82,11 +78,29 @@ def read_profiles(spark: SparkSession, root: str) -> DataFrame:
 def read_source_recipes(spark: SparkSession, root: str) -> DataFrame:
     """Source recipes ``<domain>/_source.json``; the folder names the domain.
 
-    The nested block named after the backend becomes ``params``.
+    The nested block named after the backend (or ``params``) becomes ``params``. Spark's file
+    sources do not see names that start with ``_``, so these few small configuration files are
+    opened through the file system API; more than BROADCAST_LIMIT bytes of them is an error.
     """
-    files = _json_files(spark, root, "backend string, params map<string, string>", hidden=True)
-    domain = F.regexp_extract("_file", r"([^/]+)/_[^/]*$", 1)
-    return files.select(domain.alias("domain"), "backend", "params")
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_source.json")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(pattern) or [])
+    if sum(status.getLen() for status in found) > BROADCAST_LIMIT:
+        raise ValueError("too many recipe files: keep recipes in a table")
+    rows = []
+    for status in found:
+        stream = fs.open(status.getPath())
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        recipe = json.loads(text)
+        backend = recipe.get("backend")
+        params = recipe.get(backend) or recipe.get("params") or {}
+        domain = status.getPath().getParent().getName()
+        rows.append((domain, backend, {k: str(v) for k, v in params.items()}))
+    return local_table(spark, rows, RECIPE_DDL)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
