@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcatalog.llm import simhash
+from webcatalog.llm import quality, sharding, simhash
 from webcatalog.llm.common import read_documents
 from webcatalog.session import ship_package
 
@@ -25,6 +25,73 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _quality_sql() -> str:
+    """The rules and thresholds of ``quality.judge``."""
+    sql = {m: q.replace(" div ", " // ") for m, (q, _, _) in quality.MEASURES.items()}
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {q} AS v FROM counted WHERE NOT base_failed" for m, q in sql.items())
+    span = {m: f"{quality.REACH} * greatest(max(q3 - q1) FILTER (measure = '{m}'), {f})" for m, (_, f, _) in quality.MEASURES.items()}
+    limits = ", ".join(
+        f"max(q1) FILTER (measure = '{m}') - {span[m]} AS low_{m}, max(q3) FILTER (measure = '{m}') + {span[m]} AS high_{m}"
+        for m in sql
+    )
+    low = lambda m: f"coalesce(s.low_{m}, l.low_{m}, o.low_{m})"
+    tests = " AND ".join(
+        f"{q} <= {low(m).replace('low', 'high')}" + (f" AND {q} >= {low(m)}" if quality.MEASURES[m][2] else "")
+        for m, q in sql.items()
+    )
+    return f"""
+WITH split AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w, count(*) OVER (PARTITION BY doc_id, w) AS times
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM split)),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n
+  FROM windows, (SELECT unnest(range(8)) AS d) WHERE times > 1 GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split)
+  WHERE regexp_matches(line, '[^ \x09-\x0D]') GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ \x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words,
+    len(list_filter(list_zip(words, words[2:]), lambda p: p[1] = p[2]))::BIGINT AS n_stutters,
+    n_words < 20 OR 100 * coalesce(covered.n, 0) > 30 * n_words AS base_failed
+  FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
+measured AS (
+  SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS v
+  FROM ({rows})),
+quartiles AS (
+  SELECT grouping(lang) + grouping(source) AS level, lang, source, measure, count(*) AS n,
+    quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
+  FROM measured GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))),
+limits AS (
+  SELECT level, lang, source, {limits} FROM quartiles WHERE n >= {quality.MIN_ROWS} OR level = 2 GROUP BY level, lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stutters, base_failed,
+  NOT base_failed AND coalesce({tests}, false) AS kept
+FROM counted c
+LEFT JOIN limits s ON s.level = 0 AND c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source
+LEFT JOIN limits l ON l.level = 1 AND c.lang IS NOT DISTINCT FROM l.lang
+LEFT JOIN limits o ON o.level = 2
+"""
+
+
+SHARDS = [f"shard-{k:04d}" for k in range(256)]
+
+
+@query("op1_sharding")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign_shards(read_documents(spark, folder).select("doc_id"), ["doc_id"], SHARDS)
+    return placed.select("doc_id", "slot", "shard")
+
+
+@query("op4_quality", _quality_sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(read_documents(spark, folder)).drop("level")
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read_documents(spark, folder))
