@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from struct import pack
 
 import numpy as np
 
@@ -10,6 +11,8 @@ import numpy as np
 CACHED_WORDS = 600_000
 #: How byte-level vocabularies write the space byte.
 SPACE = "\u0120"
+#: Marks that end a piece of letters and stand alone before a space.
+STOPS = ".,;:!?"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -24,12 +27,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it has
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
+        self.model = self.tokenizer.model
+        self.octets = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.stops = {c: self.whole(c) for c in STOPS}
+        self.words = Words(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -40,21 +44,34 @@ class Encoder:
         if "  " in text or text[-1] == " ":
             return self.whole(text)
         first, *rest = text.split(" ")
-        start = self.whole(first) if first else b""
-        try:
-            return start + b"".join(map(self.words.__getitem__, rest))
-        except KeyError:
-            self._learn(rest)
-            return start + b"".join(map(self.words.__getitem__, rest))
-
-    def _learn(self, words: list[str]) -> None:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = list({w for w in words if w not in self.words})
-        # Encoded in one go: only the token that opens a word starts with a space.
-        raw = self.whole(" " + " ".join(new))
-        cuts = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
-        self.words.update((w, raw[s:e]) for w, s, e in zip(new, cuts, [*cuts[1:], len(raw)], strict=True))
+        return (self.whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+
+    def word(self, word: str) -> bytes:
+        """Ids of a space and the word."""
+        if word.isalpha():
+            return self._letters(word)
+        if word[:-1].isalpha() and word[-1] in STOPS:
+            return (self.words.get(word[:-1]) or self._letters(word[:-1])) + self.stops[word[-1]]
+        return self.whole(f" {word}")
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a space and letters: one piece of the pattern, so the merges apply directly."""
+        written = SPACE + word if word.isascii() else self.octets.pre_tokenize_str(f" {word}")[0][0]
+        ids = [token.id for token in self.model.tokenize(written)]
+        return pack(f"<{len(ids)}I", *ids)
+
+
+class Words(dict):
+    """Encodes a word when it is first looked up."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
 
 
 def encoder(path: str) -> Encoder:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcatalog.llm import quality, sharding, simhash
-from webcatalog.llm.common import read_documents
+from webcatalog.llm import packing, quality, sharding, simhash, token_records
+from webcatalog.llm.common import fresh_path, read_documents
 from webcatalog.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,11 +87,31 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+def tokenizer_path() -> str:
+    """Where this installation keeps the byte-level vocabulary; workers have the same one."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op3_token_records")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    target = fresh_path(spark, "records")
+    token_records.write_records(read_documents(spark, folder), target, tokenizer_path())
+    found = token_records.read_records(spark, target)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op4_quality", _quality_sql())
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read_documents(spark, folder)).drop("level")
 
 
+@query("op6_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_documents(spark, folder), tokenizer_path(), keep_ids=False).drop("ids")
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read_documents(spark, folder))
