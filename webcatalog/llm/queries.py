@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcatalog.llm import packing, quality, sharding, simhash, token_records
+from webcatalog.llm import packing, quality, sharding, simhash, suffix_dedup, token_records
 from webcatalog.llm.common import fresh_path, read_documents
 from webcatalog.session import ship_package
 
@@ -107,6 +107,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read_documents(spark, folder)).drop("level")
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_documents(spark, folder)).drop("runs")
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_documents(spark, folder), tokenizer_path(), keep_ids=False).drop("ids")
