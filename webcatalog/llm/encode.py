@@ -8,11 +8,15 @@ from struct import pack
 import numpy as np
 
 #: Words whose ids a worker keeps; at the limit it starts afresh.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 #: How byte-level vocabularies write the space byte.
 SPACE = "\u0120"
 #: Marks that end a piece of letters and stand alone before a space.
 STOPS = ".,;:!?"
+#: The character that stands for each byte in byte-level vocabularies: its own where that is
+#: printable Latin-1, else the next one from 256 on.
+OCTETS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+FORMATS = [f"<{n}I" for n in range(64)]
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -27,12 +31,11 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it has
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.octets = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.stops = {c: self.whole(c) for c in STOPS}
+        self.stops = {c: self.whole(c) for c in f"{STOPS}\n"}
         self.words = Words(self.word)
 
     def whole(self, text: str) -> bytes:
@@ -51,16 +54,20 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """Ids of a space and the word."""
         if word.isalpha():
-            return self._letters(word)
+            return self._letters(SPACE, word)
         if word[:-1].isalpha() and word[-1] in STOPS:
-            return (self.words.get(word[:-1]) or self._letters(word[:-1])) + self.stops[word[-1]]
+            return (self.words.get(word[:-1]) or self._letters(SPACE, word[:-1])) + self.stops[word[-1]]
+        above, _, below = word.partition("\n")
+        if above and not above[-1].isspace() and below.isalpha():  # a single line end is a piece
+            return self.words[above] + self.stops["\n"] + self._letters("", below)
         return self.whole(f" {word}")
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a space and letters: one piece of the pattern, so the merges apply directly."""
-        written = SPACE + word if word.isascii() else self.octets.pre_tokenize_str(f" {word}")[0][0]
-        ids = [token.id for token in self.model.tokenize(written)]
-        return pack(f"<{len(ids)}I", *ids)
+    def _letters(self, before: str, word: str) -> bytes:
+        """Ids of letters, after a space or none: one piece of the pattern, so the merges apply directly."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(OCTETS)
+        ids = [token.id for token in self.model.tokenize(before + word)]
+        return pack(FORMATS[len(ids)] if len(ids) < len(FORMATS) else f"<{len(ids)}I", *ids)
 
 
 class Words(dict):
