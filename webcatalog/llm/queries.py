@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcatalog.llm import packing, quality, sharding, simhash, suffix_dedup, token_records
-from webcatalog.llm.common import fresh_path, read_documents
+from webcatalog.llm import mixing, packing, quality, secret_scan, sharding, simhash, suffix_dedup, token_records, toxicity, vector_links
+from webcatalog.llm.common import fresh_path, read_documents, written
 from webcatalog.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,20 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+#: The chain over the labelled table: low quality first, as much of it is not abuse.
+TOXICITY = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+def toxicity_chain(spark: SparkSession, folder: str) -> toxicity.Chain:
+    return toxicity.train(read_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), TOXICITY)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(read_documents(spark, folder), toxicity_chain(spark, folder), "toxic")
+    return scored.select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"))
+
+
 def tokenizer_path() -> str:
     """Where this installation keeps the byte-level vocabulary; workers have the same one."""
     import public_tokenizers
@@ -117,6 +131,26 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_documents(spark, folder), tokenizer_path(), keep_ids=False).drop("ids")
 
 
+REPETITION_LIMIT = 1.5
+
+
+@query("op7_mixing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    sized = written(mixing.sizes(read_documents(spark, folder)), "sizes")
+    return mixing.mix(sized, repetition_limit=REPETITION_LIMIT).drop("tie")
+
+
+@query("op8_vector_links")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links.link(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(read_documents(spark, folder))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "p_secret", "is_secret")
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read_documents(spark, folder))
