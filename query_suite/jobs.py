@@ -33,37 +33,49 @@ def build_catalog(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "crawl_archive",
-    f"""WITH {PAGED_SQL}
+_CRAWL_SQL = f"""WITH {PAGED_SQL}
        SELECT DISTINCT url, CAST(page - 1 AS INT) AS hop, 'cat ' || p_brand AS source_category, 'done' AS status FROM places
        UNION ALL SELECT 'https://shop.example.com/catalog/' || slug || '?p=' || (max(page) + 1), CAST(max(page) AS INT),
-         'cat ' || p_brand, 'failed' FROM places GROUP BY slug, p_brand HAVING max(page) < max(last_page)""",
-)
-def crawl_archive(t: Tables) -> DataFrame:
+         'cat ' || p_brand, 'failed' FROM places GROUP BY slug, p_brand HAVING max(page) < max(last_page)"""
+
+
+def _crawl_seeds(t: Tables) -> DataFrame:
     brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))
-    seeds = t.part.select("p_brand", brand.alias("slug")).distinct().select(
+    return t.part.select("p_brand", brand.alias("slug")).distinct().select(
         F.regexp_extract("slug", r"(\d+)$", 1).cast("long").alias("seq"),
         F.concat(F.lit("cat "), "p_brand").alias("name"), fixtures.listing_url(F.col("slug"), F.lit(1)).alias("url"),
     )
-    done = crawl(t.listings(), t.profiles(), seeds, Options(max_pages=None))
+
+
+@query("crawl_archive", _CRAWL_SQL)
+def crawl_archive(t: Tables) -> DataFrame:
+    done = crawl(t.listings(), t.profiles(), _crawl_seeds(t))
+    return done.select("url", "hop", "source_category", "status")
+
+
+@query("crawl_duplicates", _CRAWL_SQL)
+def crawl_duplicates(t: Tables) -> DataFrame:
+    """Every page was fetched three times, blocked but for the last."""
+    pages = t.listings()
+    blocked = pages.withColumn("html", F.lit("<title>Just a moment...</title>")).withColumn("page_id", -F.col("page_id"))
+    archive = pages.unionByName(blocked).unionByName(blocked.withColumn("page_id", F.col("page_id") - 1))
+    done = crawl(archive, t.profiles(), _crawl_seeds(t))
     return done.select("url", "hop", "source_category", "status")
 
 
 @query(
     "crawl_archive_capped",
-    f"""WITH {PAGED_SQL}, queued AS (
-         SELECT DISTINCT url, page - 1 AS hop, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS brand_no FROM places)
-       SELECT url, CAST(hop AS INT) AS hop FROM queued ORDER BY hop, brand_no LIMIT 40""",
+    f"""WITH {PAGED_SQL}, queue AS (
+         SELECT DISTINCT url, page - 1 AS hop, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS seed, true AS ok FROM places
+         UNION ALL SELECT 'https://shop.example.com/catalog/' || slug || '?p=' || (max(page) + 1), max(page),
+           CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT), false FROM places GROUP BY slug, p_brand HAVING max(page) < max(last_page)),
+       last AS (SELECT hop, seed FROM queue WHERE ok ORDER BY hop, seed LIMIT 1 OFFSET 39)
+       SELECT url, CAST(q.hop AS INT) AS hop, CASE WHEN (q.hop, q.seed) > (l.hop, l.seed) THEN 'pending' WHEN ok THEN 'done' ELSE 'failed' END AS status
+       FROM queue q LEFT JOIN last l ON true WHERE l.hop IS NULL OR q.hop = 0 OR (q.hop - 1, q.seed) < (l.hop, l.seed)""",
 )
 def crawl_archive_capped(t: Tables) -> DataFrame:
-    brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))
-    seeds = t.part.select("p_brand", brand.alias("slug")).distinct().select(
-        F.regexp_extract("slug", r"(\d+)$", 1).cast("long").alias("seq"),
-        F.col("p_brand").alias("name"), fixtures.listing_url(F.col("slug"), F.lit(1)).alias("url"),
-    )
-    done = crawl(t.listings(), t.profiles(), seeds, Options(max_pages=40))
-    return done.where("status = 'done'").select("url", "hop")
+    done = crawl(t.listings(), t.profiles(), _crawl_seeds(t), Options(max_pages=40))
+    return done.select("url", "hop", "status")
 
 
 @query(

@@ -181,7 +181,7 @@ def _robots(t: Tables) -> DataFrame:
     body = (
         F.when(n % 4 == 0, "User-agent: *\nDisallow: /en/ # english\nAllow: /\n")
         .when(n % 4 == 1, "User-agent: webcatalog\nCrawl-delay: 2\nDisallow:\n\nUser-agent: *\nDisallow: /\n")
-        .when(n % 4 == 2, "User-agent: *\nAllow: /fr/\nDisallow: /*\nDisallow: /f\nDisallow: /de/9\n")
+        .when(n % 4 == 2, "User-agent: *\nAllow: /fr/\nDisallow: /*\nDisallow: /%66\nDisallow: /de/9\nDisallow: /search?q=\n")
         .otherwise("User-agent: other\nDisallow: /\n")
     )
     hosts = t.read("pages").select(host.alias("host")).distinct()

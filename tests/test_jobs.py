@@ -46,7 +46,7 @@ def _page(url, *links, sub=()):
 
 def crawled(spark, pages, compiled, *starts, **options):
     out = CR.crawl_archive(pages, compiled, seeds(spark, *starts), Options(**options))
-    rows = out.orderBy("hop", "path").collect()
+    rows = out.orderBy("hop", "place").collect()
     return [(r.url.removeprefix(SHOP), r.hop, r.source_category, r.status) for r in rows]
 
 
@@ -58,7 +58,23 @@ def test_crawl_chain_cycle_and_missing_page(spark, pages_of, compiled):
     assert crawled(spark, pages, compiled, *start, max_pages=None) == expected
     capped = crawled(spark, pages, compiled, *start, max_pages=4)
     assert [u for u, _, _, s in capped if s == "done"] == ["a", "x", "y", "b"]
-    assert all(s == "pending" for _, _, _, s in crawled(spark, pages, compiled, *start, max_pages=0))
+    assert capped[4:] == [("gone", 1, "X", "pending")]  # b reaches the cap and queues nothing
+    assert crawled(spark, pages, compiled, *start, max_pages=0) == [(u, 0, c, "pending") for u, c in (("a", "A"), ("x", "X"), ("y", "Y"))]
+
+
+def test_crawl_of_an_archive_that_holds_every_page_twice(spark, pages_of, compiled):
+    chain = [_page(f"p{i}", f"p{i + 1}") for i in range(200)]
+    got = crawled(spark, pages_of(*chain, *chain), compiled, ("A", SHOP + "p0"))
+    assert got == [(f"p{i}", i, "A", "done" if i < 200 else "failed") for i in range(201)]
+
+
+def test_capped_crawl_queues_links_of_visited_pages_only(spark, pages_of, compiled):
+    chain = pages_of(*[_page(f"p{i}", f"p{i + 1}") for i in range(5)])
+    assert crawled(spark, chain, compiled, ("A", SHOP + "p0"), max_pages=2) == [("p0", 0, "A", "done"), ("p1", 1, "A", "done")]
+    wide = pages_of(_page("a", "a2", "a3", sub=[(SHOP + "s", "S")]), _page("a2", "a4"), _page("a3"), _page("s", sub=[(SHOP + "t", "T")]), _page("t"))
+    got = crawled(spark, wide, compiled, ("A", SHOP + "a"), ("B", SHOP + "b"), follow_subcategories=True, max_pages=2)
+    assert got == [("a", 0, "A", "done"), ("b", 0, "B", "failed"), ("s", 1, "S", "done"), ("a2", 1, "A", "pending"),
+                   ("a3", 1, "A", "pending"), ("t", 2, "T", "pending")]
 
 
 def test_crawl_long_chain_by_doubling_equals_hops(spark, pages_of, compiled):
@@ -66,9 +82,10 @@ def test_crawl_long_chain_by_doubling_equals_hops(spark, pages_of, compiled):
     pages = pages_of(*chain)
     links = CR.archive_links(pages, compiled)
     start = seeds(spark, ("A", SHOP + "p0"), ("B", SHOP + "p5")).select(
-        "url", F.lit(0).alias("hop"), F.array("seq").alias("path"), F.col("name").alias("source_category")
+        "url", F.lit(0).alias("hop"), F.col("seq").alias("place"), F.col("name").alias("source_category")
     )
     by = lambda df: sorted((r.url, r.hop, r.source_category) for r in df.collect())
+    assert links.count() == 21
     doubled = by(CR._by_doubling(start, links, None))
     assert doubled == by(CR._by_hop(start, links, None)) and len(doubled) == 22
 

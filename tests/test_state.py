@@ -181,6 +181,35 @@ def test_robots(spark):
     assert {r.host: r.delay for r in RB.crawl_delays(frame, rules).collect()}["http://a"] == 3.0
 
 
+BODIES = [
+    "User-agent: *\nDisallow: /search?q=\nDisallow: /~joe\nDisallow: /caf%C3%A9\nDisallow: /a+b\nDisallow: /100%",
+    "User-agent: *\nAllow: /x/y?\nDisallow: /x\nDisallow: /\u00e9t\u00e9 # summer\nCrawl-delay: 5",
+    "# c\r\nUSER-AGENT : WebCat\r\nuser-agent: other\r\nDisallow:/p\r\nAllow: /\r\n\r\nUser-agent: *\r\nDisallow: /",
+    "Disallow: /early\nUser-agent: web\n\nDisallow: /lost\nUser-agent: *\nUser-agent: webcat\nDisallow: *\nUser-agent: cat\nDisallow: /c\nCrawl-delay: x",
+    "User-agent: webcat\nRequest-rate: 1/2\nSitemap: http://s/\nUser-agent: *\nDisallow: /q", "nonsense", "", "User-agent: *\nDisallow: /%7Ejoe/%\nDisallow: /b?#",
+    "User-agent: a\nDisallow: /1\n \nUser-agent: *\nDisallow: /2\n\nUser-agent: *\nDisallow: /3",
+]
+TAILS = ["", "/", "?x=1", "/search?q=1", "/search%3Fq%3D1", "/%7Ejoe/a", "/~joe/a", "/caf\u00e9", "/caf%c3%a9/x", "/a+b", "/a%2Bb", "/100%", "/100%25/x",
+         "/x/y?z", "/x/y?", "/x/z", "/%C3%A9t%C3%A9", "/p", "/early", "/lost", "/c/1", "/q#f", "/~joe/%", "/b", "/1", "/2/x", "/3"]
+
+
+def test_robots_agree_with_the_standard_library(spark):
+    import urllib.robotparser
+
+    bodies = table(spark, "host string, status int, body string", *[(f"http://h{i}", 200, b) for i, b in enumerate(BODIES)])
+    urls = [f"http://h{i}{t}" for i in range(len(BODIES)) for t in TAILS]
+    rules = RB.robots_rules(bodies, "WebCat/1.0")
+    got = {r.url: r.allowed for r in RB.with_allowed(table(spark, "url string", *[(u,) for u in urls]), rules).collect()}
+    delays = {r.host: r.delay for r in rules.collect()}
+    for i, body in enumerate(BODIES):
+        parser = urllib.robotparser.RobotFileParser()
+        parser.parse(body.splitlines())
+        for tail in TAILS:
+            url = f"http://h{i}{tail}"
+            assert got[url] == parser.can_fetch("WebCat/1.0", url), (body, url)
+        assert delays[f"http://h{i}"] == parser.crawl_delay("WebCat/1.0")
+
+
 def test_changes_across_buckets(spark):
     seen = table(spark, "dedup_key string, at string, price double, availability string",
                  ("a", "2024-01-01", 5.0, "in_stock"), ("a", "2024-01-20", 4.0, "in_stock"), ("a", "2024-03-01", 6.0, "in_stock"),

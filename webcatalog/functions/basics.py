@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # White space as Unicode defines it, plus the ASCII separators, for ``strip``.
 _SPACE = r"\s\x1c-\x1f\x85   -     　"
 
+# Every kind of line break.
+LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
+
 
 def reusable(build: Callable) -> Callable:
     """Keep what ``build(*args)`` returns for the life of the JVM.
@@ -43,7 +46,7 @@ def strip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Split at every kind of line break, strip each line and drop blank ones."""
-    parts = F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]")
+    parts = F.split(text, LINE_BREAK)
     return F.filter(F.transform(parts, strip), lambda line: line != "")
 
 

@@ -1,44 +1,101 @@
-"""Exclusion rules: robots bodies to rule rows, and the filter they imply."""
+"""Exclusion rules: robots bodies to rule rows, and the filter they imply.
 
-from __future__ import annotations
+Bodies are read by column expressions: lines, then groups of agents and rules in one pass.
+Rule paths and URLs are compared percent-decoded, so it doesn't matter how either is quoted.
+"""
 
-import urllib.robotparser
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.functions.basics import first_where
-from webcatalog.functions.urls import url_host, url_path, url_query, url_scheme
+from webcatalog.functions.basics import LINE_BREAK, first_where, strip
+from webcatalog.functions.urls import url_host, url_scheme
 from webcatalog.sources.local import broadcast_if_small
 
-_RULES_DDL = "struct<rules: array<struct<path: string, allow: boolean>>, delay: double>"
-_RULES = pa.struct(
-    [
-        ("rules", pa.list_(pa.struct([("path", pa.string()), ("allow", pa.bool_())]))),
-        ("delay", pa.float64()),
-    ]
-)
-
-
-def _parse_for(agent: str):
-    def parse(bodies: pa.Array) -> pa.Array:
-        out = []
-        for body in bodies.to_pylist():
-            parser = urllib.robotparser.RobotFileParser()
-            parser.parse((body or "").splitlines())
-            entries = [e for e in parser.entries if e.applies_to(agent)] + [parser.default_entry]
-            entry = entries[0]
-            lines = entry.rulelines if entry else []
-            out.append(
-                {
-                    "rules": [{"path": r.path, "allow": r.allowance} for r in lines],
-                    "delay": float(entry.delay) if entry and entry.delay else None,
-                }
-            )
-        return pa.array(out, _RULES)
-
-    return parse
+_GROUP = "struct<rules: array<struct<path: string, allow: boolean>>, delay: double>"
+# ``state``: 0 outside a group, 1 after an agent line, 2 after a rule of the group.
+_ACC = f"struct<state: int, own: boolean, any: boolean, group: {_GROUP}, mine: {_GROUP}, common: {_GROUP}>"
+
+
+def unquoted(text: Column) -> Column:
+    """Percent-decoded text; a plus stays one, and a percent sign that starts no code stays."""
+    whole = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), text)
+
+
+def _tidy(path: Column) -> Column:
+    """Without the marks of an empty query or fragment."""
+    return F.regexp_replace(F.regexp_replace(path, "#$", ""), r"\?(?=#|$)", "")
+
+
+def _lines(body: Column) -> Column:
+    """``array<struct<blank, key, value>>`` of the lines of a body."""
+
+    def line(raw: Column) -> Column:
+        text = strip(F.regexp_replace(raw, "#.*$", ""))
+        named = text.contains(":")
+        value = strip(F.substr(text, F.instr(text, ":") + 1))
+        return F.struct(
+            (raw == "").alias("blank"), F.when(named, F.lower(strip(F.substring_index(text, ":", 1)))).alias("key"),
+            F.when(named, unquoted(value)).alias("value"),
+        )
+
+    return F.transform(F.split(F.coalesce(body, F.lit("")), LINE_BREAK), line)
+
+
+def _closed(acc: Column) -> dict[str, Column]:
+    """``mine`` and ``common`` once the current group counts: the first group of each kind does."""
+    ends = acc["state"] == 2
+    mine = ends & acc["own"] & ~acc["any"] & acc["mine"].isNull()
+    common = ends & acc["any"] & acc["common"].isNull()
+    return {
+        "mine": F.when(mine, acc["group"]).otherwise(acc["mine"]),
+        "common": F.when(common, acc["group"]).otherwise(acc["common"]),
+    }
+
+
+def _step(agent: str):
+    nothing = F.lit(None).cast(_GROUP)
+
+    def packed(**parts: Column) -> Column:
+        order = ("state", "own", "any", "group", "mine", "common")
+        return F.struct(*[parts[k].alias(k) for k in order]).cast(_ACC)
+
+    def fresh() -> Column:
+        return F.struct(F.array().cast("array<struct<path: string, allow: boolean>>").alias("rules"), F.lit(None).cast("double").alias("delay"))
+
+    def step(acc: Column, line: Column) -> Column:
+        closed = _closed(acc)
+        outside = packed(state=F.lit(0), own=F.lit(False), any=F.lit(False), group=fresh(), **closed)
+        new = acc["state"] == 2  # an agent line after rules opens the next group
+        named = F.lit(agent).contains(F.lower(line["value"]))
+        joined = packed(
+            state=F.lit(1), own=F.when(new, named).otherwise(acc["own"] | named),
+            any=F.when(new, line["value"] == "*").otherwise(acc["any"] | (line["value"] == "*")),
+            group=F.when(new, fresh()).otherwise(acc["group"]),
+            mine=F.when(new, closed["mine"]).otherwise(acc["mine"]), common=F.when(new, closed["common"]).otherwise(acc["common"]),
+        )
+        rule = F.struct(
+            _tidy(line["value"]).alias("path"), ((line["key"] == "allow") | (line["value"] == "")).alias("allow")
+        )
+        is_rule = line["key"].isin("allow", "disallow")
+        delay = F.when((line["key"] == "crawl-delay") & line["value"].rlike(r"^\d+$"), line["value"].try_cast("double"))
+        group = F.struct(
+            F.when(is_rule, F.concat(acc["group"]["rules"], F.array(rule))).otherwise(acc["group"]["rules"]).alias("rules"),
+            F.coalesce(delay, acc["group"]["delay"]).alias("delay"),
+        )
+        ruled = packed(state=F.lit(2), own=acc["own"], any=acc["any"], group=group, mine=acc["mine"], common=acc["common"])
+        counts = is_rule | line["key"].isin("crawl-delay", "request-rate")
+        return (
+            F.when(line["blank"], outside)
+            .when(line["key"] == "user-agent", joined)
+            .when(counts & (acc["state"] != 0), ruled)
+            .otherwise(acc)
+        )
+
+    start = packed(state=F.lit(0), own=F.lit(False), any=F.lit(False), group=fresh(), mine=nothing, common=nothing)
+    return start, step
 
 
 def robots_rules(robots: DataFrame, user_agent: str) -> DataFrame:
@@ -46,9 +103,12 @@ def robots_rules(robots: DataFrame, user_agent: str) -> DataFrame:
 
     The agent's own group wins over ``*``; anything but a 200 response binds nobody.
     """
-    bodies = robots.where("status = 200")
-    parsed = F.arrow_udf(_parse_for(user_agent), _RULES_DDL)("body")
-    return bodies.select("host", parsed.alias("r")).select("host", "r.*")
+    start, step = _step(user_agent.split("/")[0].lower())
+    read = robots.where("status = 200").select("host", F.aggregate(_lines(F.col("body")), start, step).alias("acc"))
+    last = _closed(F.col("acc"))
+    chosen = read.select("host", F.coalesce(last["mine"], last["common"]).alias("r"))
+    rules = F.coalesce("r.rules", F.array().cast("array<struct<path: string, allow: boolean>>"))
+    return chosen.select("host", rules.alias("rules"), F.col("r.delay").alias("delay"))
 
 
 def _host_key():
@@ -58,11 +118,8 @@ def _host_key():
 
 def with_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``allowed``: the first rule whose path is a prefix decides; no rule allows."""
-    query = url_query(F.col("url"))
-    path = F.concat(
-        F.when(url_path(F.col("url")) == "", "/").otherwise(url_path(F.col("url"))),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
+    rest = _tidy(F.regexp_replace(unquoted(F.col("url")), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""))
+    path = F.when(rest == "", "/").otherwise(rest)
     joined = urls.withColumn("host", _host_key()).withColumn("_path", path).join(
         broadcast_if_small(rules), "host", "left"
     )

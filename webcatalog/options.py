@@ -15,7 +15,7 @@ class Options:
     follow_subcategories: bool = False
     follow_pagination: bool = True
     max_products: int | None = None
-    max_pages: int | None = 50
+    max_pages: int | None = None
     min_coverage: float = 0.55
     revalidation_rate: float = 0.05
     profile_ttl_hours: int = 168
