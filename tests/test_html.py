@@ -51,8 +51,8 @@ def test_jsonld_nodes_in_document_order_and_bad_blocks_count():
         '<script type="application/ld+json">{broken</script><script>{"@type":"No"}</script>'
     )
     assert page.blocks == 2 and page.block_types == {"A", "B"}
-    assert [t for t, _ in page.nodes] == [["A", "B"], ["Product"]]
-    assert page.nodes[1][1] == '{"@type": "Product", "p": null}'
+    assert [t for t, *_ in page.nodes] == [["A", "B"], ["Product"]]
+    assert page.nodes[1][2] == '{"@type": "Product", "p": null}'
 
 
 SELECTOR_HTML = (
@@ -146,3 +146,17 @@ def test_prompts(spark, pages_of):
     pages = pages_of(("http://x", "h")).withColumn("hints", F.lit(None).cast("string"))
     built = P.build_prompts(pages, "U={url} H={hints}", url="url", hints="hints")
     assert built.first().prompt == "U=http://x H=(none)"
+
+
+def test_unclosed_marks_take_linear_time():
+    import time
+
+    from webcatalog.functions.html import _Page
+
+    for part in ("<!--", '<a b="', "<a b='", '<a b=">" ', "<script", "</script", "<a ", "<!-- > "):
+        start = time.process_time()
+        _Page(part * (1_000_000 // len(part)))
+        _Page("<script>" + part * (1_000_000 // len(part)))
+        assert time.process_time() - start < 5, part
+    page = _Page("<p>one<!-- c --><b t='x>y'>two</b><!-- open <i>three</i>")
+    assert page.texts == ["one", "two", "three"]

@@ -1,6 +1,7 @@
 """Crawl, catalog jobs, routing, sources and sinks, streams, and the query suite."""
 
 import json
+import shutil
 import re
 from pathlib import Path
 
@@ -124,14 +125,51 @@ def test_catalog_does_not_depend_on_partitioning(spark, listings, compiled):
     assert build(listings) == build(listings.repartition(5, "url").orderBy(F.desc("url")))
 
 
-def test_repair_hook_fills_low_coverage_pages(spark, pages_of, compiled):
-    bare = '<script type="application/ld+json">{"@type":"Product","name":"Thing","sku":"A1"}</script>'
-    pages = pages_of((SHOP + "g", bare)).withColumn("source_category", F.lit(None).cast("string"))
-    repaired = J.build_catalog(
-        pages, compiled, as_of=AT(), repair=lambda d: d.withColumns({"brand": F.lit("B"), "description": F.lit("D"), "name": F.lit("other")})
-    )
-    row = repaired.first()
-    assert (row.name, row.brand, row.description, row.extraction_tier) == ("Thing", "B", "D", "mixed")
+def test_repair_hook_runs_once_and_is_grounded(spark, pages_of, compiled):
+    bare = '<script type="application/ld+json">{"@type":"Product","name":"Thing","sku":"A1"}</script><p>Thing, made by Bolt.</p>'
+    pages = pages_of(
+        (SHOP + "g", bare), (SHOP + "h", "<p>A Lamp without any data</p>"), ("https://nobody.org/x", "<p>A Lamp</p>"),
+        (SHOP + "i", "Just a moment..."), (SHOP + "j", "<p>nothing</p>"),
+    ).withColumn("source_category", F.lit(None).cast("string"))
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def answer(text):
+        asked.add(1)
+        if "nothing" in text:
+            return "I can't tell"
+        name = "Lamp" if "Lamp" in text else "Thing"
+        return json.dumps([{"name": name, "sku": "A1" if name == "Thing" else None, "brand": "Bolt", "description": "Invented text"}])
+
+    repaired = J.build_catalog(pages, compiled, as_of=AT(), repair=lambda p: p.select("page_id", answer("page_text").alias("text")))
+    rows = {r.name: r for r in repaired.collect()}
+    assert asked.value == 3 and set(rows) == {"Thing", "Lamp"}
+    assert (rows["Thing"].brand, rows["Thing"].description, rows["Thing"].extraction_tier) == ("Bolt", None, "mixed")
+    assert (rows["Lamp"].brand, rows["Lamp"].extraction_tier) == (None, "llm")
+
+
+def test_detail_pass_runs_regex_rules(spark, pages_of, compiled):
+    rules = {"name": {"source": "css", "selector": "h1"}, "sku": {"source": "css", "selector": "b"},
+             "description": {"source": "regex", "pattern": "Story: ([^<]+)", "group": 1}}
+    table = fixtures.profiles(spark)
+    row = table.where("template = 'product-detail'").limit(1)
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in table.schema["fields"].dataType.valueType.fields}
+    rule = lambda spec: F.struct(*[(F.lit(spec[k]).cast(table.schema["fields"].dataType.valueType[k].dataType) if k in spec else v).alias(k) for k, v in blank.items()])
+    fields = F.create_map(*[x for k, spec in rules.items() for x in (F.lit(k), rule(spec))])
+    own = compile_profiles(row.withColumn("fields", fields))
+    pages = pages_of((SHOP.replace("catalog/", "product/") + "7", "<h1>Thing</h1><b>A7</b><p>Story: long ago</p>"), kind="product")
+    found = J.page_records(pages, own, tier="mixed").collect()
+    listing = fixtures.products(spark.createDataFrame([(7, "x", "m", "b", "t", 1, "c", 1.0)],
+                                "p_partkey long, p_name string, p_mfgr string, p_brand string, p_type string, p_size int, p_container string, p_retailprice double"))
+    listing = listing.withColumns({"dedup_key": F.lit(found[0].dedup_key), "description": F.lit(None).cast("string")})
+    assert J.enrich_from_details(listing, pages, own).first().description == "long ago"
+
+
+def test_api_products_are_won_by_the_later_queue_entry(spark):
+    hit = lambda brand: json.dumps({"nbPages": 1, "hits": [{"name": "N", "sku": ["S1"], "manufacturer_name": brand, "visibility_catalog": 1}]})
+    rows = [("u9", "9", "first", 1, 0, hit("early")), ("u2", "2", "second", 2, 0, hit("late"))]
+    table = spark.createDataFrame(rows, "page_url string, category_id string, source_category string, seq long, api_page int, body string")
+    assert J.build_catalog_api(table, as_of=AT()).first().brand == "late"
 
 
 def test_blocked_page_is_routed_to_a_person(spark, pages_of, compiled):
@@ -196,10 +234,12 @@ def test_stream_catalog_equals_batch_and_survives_replay(spark, listings, compil
     stream("ck1")
     expected = plain(J.build_catalog(listings, compiled, as_of=AT()))
     assert plain(I.read_incremental(spark, table)) == expected
-    stream("ck2")  # a lost checkpoint replays every batch into the same folders
+    I.compact(spark, table)
+    assert plain(I.read_incremental(spark, table)) == expected
+    stream("ck2")  # a lost checkpoint replays every batch after the base
     assert plain(I.read_incremental(spark, table)) == expected
-    I.compact(spark, table, str(tmp_path / "folded"))
-    assert plain(I.read_incremental(spark, str(tmp_path / "folded"))) == expected
+    shutil.rmtree(f"{table}/log")
+    assert plain(I.read_incremental(spark, table)) == expected  # the base is whole
 
 
 def _drain(df, name):
@@ -227,6 +267,20 @@ def test_stream_frontier_metrics_and_alerts(spark, tmp_path):
     assert alerts.where("event = 'new'").count() == len(urls) and alerts.where("event = 'price_drop' and price >= prev_price").count() == 0
 
 
+def test_alerts_drop_late_rows(spark, tmp_path):
+    rows = [("a", "2024-01-02", 5.0), ("a", "2024-01-03", 4.0)], [("a", "2024-01-01", 9.0), ("a", "2024-01-04", 4.5), ("a", None, 1.0)]
+    frames = [spark.createDataFrame(r, "dedup_key string, t string, price double").select(
+        "dedup_key", F.to_timestamp("t").alias("scraped_at"), "price", F.lit("in_stock").alias("availability")) for r in rows]
+    path = str(tmp_path / "seen")
+    for k, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(path)
+    files = sorted((p for p in (tmp_path / "seen").glob("part-*")), key=lambda p: p.stat().st_mtime_ns)
+    assert len(files) == 2
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = [(r.price, r.event) for r in _drain(I.stream_alerts(stream), "late").orderBy("scraped_at").collect()]
+    assert got == [(5.0, "new"), (4.0, "price_drop"), (4.5, "price_rise")]
+
+
 def test_broadcast_is_asked_for_only_below_the_limit(spark):
     big = spark.createDataFrame(spark.range(50).select(F.repeat(F.lit("x"), 100).alias("t"), "id").rdd, "t string, id long")
     plan = lambda limit: spark.range(9).join(broadcast_if_small(big, limit), "id")._jdf.queryExecution().logical().toString()

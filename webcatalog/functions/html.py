@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -25,7 +26,7 @@ DOC_DDL = (
     "struct<elems: array<struct<idx: int, tail: int, parent: int, tag: string,"
     " classes: array<string>, attrs: map<string, string>, t0: int, t1: int, skip: int>>,"
     " texts: array<string>, text_skip: array<int>, blocks: int, block_types: array<string>,"
-    " nodes: array<struct<types: array<string>, json: string>>>"
+    " nodes: array<struct<types: array<string>, listed: boolean, json: string>>>"
 )
 
 _ELEM = pa.struct(
@@ -41,15 +42,22 @@ _ELEM = pa.struct(
         ("skip", pa.int32()),
     ]
 )
-_NODE = pa.struct([("types", pa.list_(pa.string())), ("json", pa.string())])
-
-_TOKEN = re.compile(
-    r"<(?:!--.*?-->|[!?][^>]*>"
-    r"|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>)",
-    re.S,
-)
+_NODE = pa.struct([("types", pa.list_(pa.string())), ("listed", pa.bool_()), ("json", pa.string())])
+
+_COMMENT = r"!--.*?-->|"
+_QUOTED = r"(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|"
+
+
+def _token(comments: bool, quotes: bool) -> re.Pattern:
+    loose = r"(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>"
+    tags = (_QUOTED if quotes else r"(?P<open>(?!))(?P<attrs>)|") + loose
+    return re.compile(f"<(?:{_COMMENT if comments else ''}[!?][^>]*>|/(?P<close>[a-zA-Z][^\\s/>]*)[^>]*>|{tags})", re.S)
+
+
+# By whether a comment's end lies ahead, and whether quotes are still worth following.
+_TOKENS = {(c, q): _token(c, q) for c in (True, False) for q in (True, False)}
+# Tags with unclosed quotes are tried up to so many times the page's length in all.
+_TRIES = 20
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 _ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
@@ -87,8 +95,9 @@ _SKIP_BITS = {
     "script": HIDDEN, "style": HIDDEN, "noscript": HIDDEN, "svg": HIDDEN,
     "header": CHROME, "footer": CHROME, "nav": CHROME,
 }
-# Node types whose JSON a later step reads; other nodes carry only their types.
-_KEPT_TYPES = frozenset(["Product", "ItemList", "BreadcrumbList"])
+# The node types that extraction and discovery read.
+EXTRACTED_TYPES = ("Product", "ItemList", "BreadcrumbList")
+# These many nodes of a page always keep their JSON.
 _SAMPLE_NODES = 3
 
 
@@ -108,9 +117,10 @@ class _Page:
 
     __slots__ = ("tags", "parents", "tails", "classes", "attrs", "t0", "t1", "skip",
                  "texts", "text_skip", "blocks", "block_types", "nodes", "stack",
-                 "seen_head", "seen_body")
+                 "seen_head", "seen_body", "kept_types")
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, kept_types: frozenset[str] | None = None) -> None:
+        self.kept_types = kept_types
         self.tags, self.parents, self.tails, self.classes, self.attrs = [], [], [], [], []
         self.t0, self.t1, self.skip, self.texts, self.text_skip = [], [], [], [], []
         self.blocks, self.block_types, self.nodes, self.stack = 0, set(), [], []
@@ -122,12 +132,16 @@ class _Page:
         self._pop_to(0)
 
     def _scan(self, source: str) -> None:
-        at = 0
-        scan = _TOKEN.scanner(source)
-        while match := scan.search():
+        at, wasted = 0, 0
+        comments, quotes = source.rfind("-->"), True
+        last = source.rfind(">")  # beyond it nothing can be markup
+        while at <= last and (match := _TOKENS[at < comments, quotes].search(source, at)):
             if match.start() > at:
                 self._text(source[at : match.start()])
             at = match.end()
+            if match["loose"]:
+                wasted += len(source) - at
+                quotes = wasted <= _TRIES * len(source)
             name = match["open"] or match["loose"]
             if name:
                 tag = name.lower()
@@ -135,12 +149,11 @@ class _Page:
                 attrs = _attributes(markup) if markup else {}
                 self._open(tag, attrs)
                 if tag in _RAW:
-                    end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
+                    end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at) if at <= last else None
                     stop, at = (end.start(), end.end()) if end else (len(source),) * 2
                     if tag == "script" and attrs.get("type") == "application/ld+json":
                         self._jsonld(source[match.end() : stop])
                     self._pop_to(len(self.stack) - 1)
-                    scan = _TOKEN.scanner(source, at)
                 elif tag in _VOID or (markup and _SELF_CLOSED.search(markup)):
                     if self.tags[self.stack[-1]] == tag and tag not in ("html", "head", "body"):
                         self._pop_to(len(self.stack) - 1)
@@ -243,11 +256,20 @@ class _Page:
                 pending.extend(reversed(item))
             elif isinstance(item, dict):
                 types = _types(item)
-                keep = len(self.nodes) < _SAMPLE_NODES or not _KEPT_TYPES.isdisjoint(types)
-                self.nodes.append((types, json.dumps(item) if keep else None))
+                keep = self.kept_types is None or len(self.nodes) < _SAMPLE_NODES or not self.kept_types.isdisjoint(types)
+                self.nodes.append((types, isinstance(item.get("@type"), list), _dumped(item) if keep else None))
                 pending.extend(reversed(list(item.values())))
 
 
+def _dumped(item: dict) -> str:
+    text = json.dumps(item, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # half of a surrogate pair
+        return json.dumps(item)
+    return text
+
+
 def _types(node: dict) -> list[str]:
     declared = node.get("@type")
     names = declared if isinstance(declared, list) else [declared]
@@ -280,7 +302,7 @@ def _documents(pages: list[_Page]) -> pa.StructArray:
         + [pa.array(columns[f.name], f.type) for f in list(_ELEM)[1:]],
         fields=list(_ELEM),
     )
-    nodes = [[{"types": t, "json": j} for t, j in page.nodes] for page in pages]
+    nodes = [[{"types": t, "listed": l, "json": j} for t, l, j in page.nodes] for page in pages]
     parts = {
         "elems": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), elems),
         "texts": _lists([p.texts for p in pages], pa.string()),
@@ -294,10 +316,15 @@ def _documents(pages: list[_Page]) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
 
 
-def _parse(source: pa.Array) -> pa.Array:
-    return _documents([_Page(text or "") for text in source.to_pylist()])
+def parse_html(html: Column | str, node_types: Iterable[str] | None = None) -> Column:
+    """Document struct of an HTML column (see ``DOC_DDL``).
+
+    ``node_types`` names the JSON-LD types whose nodes keep their JSON (the first three nodes
+    of a page always do); by default all nodes do.
+    """
+    kept = None if node_types is None else frozenset(node_types)
 
+    def parse(source: pa.Array) -> pa.Array:
+        return _documents([_Page(text or "", kept) for text in source.to_pylist()])
 
-def parse_html(html: Column | str) -> Column:
-    """Document struct of an HTML column (see ``DOC_DDL``)."""
-    return F.arrow_udf(_parse, DOC_DDL)(html)
+    return F.arrow_udf(parse, DOC_DDL)(html)

@@ -14,7 +14,6 @@ from webcatalog.operators.pages import clean_text, signature
 
 # Fixed scalar fields whose value must occur in the page text.
 GROUNDED_FIELDS = ["name", "sku", "brand", "description"]
-HAYSTACK_LIMIT = 8000
 
 
 def enrich_products(products: DataFrame, details: DataFrame, order: Column | str) -> DataFrame:
@@ -125,11 +124,14 @@ def ground_fields(fields: Column, haystack: Column, url: Column) -> Column:
     )
 
 
-def ground_candidates(candidates: DataFrame, documents: DataFrame) -> DataFrame:
-    """Candidates (url, rec_no, fields) joined to their page and checked against its text."""
+def ground_candidates(candidates: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Candidates (url, rec_no, fields) joined to their page and checked against its text.
+
+    ``limit`` cuts the text; by default all of it counts.
+    """
     pages = documents.select(
         "page_id", "url", "source_category",
-        F.lower(clean_text(F.col("doc"), HAYSTACK_LIMIT)).alias("_haystack"),
+        F.lower(clean_text(F.col("doc"), limit)).alias("_haystack"),
     )
     joined = candidates.join(pages, "url")
     return joined.withColumn(
@@ -137,9 +139,9 @@ def ground_candidates(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     ).drop("_haystack")
 
 
-def ingest_responses(responses: DataFrame, documents: DataFrame) -> DataFrame:
+def ingest_responses(responses: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
     """Model responses to grounded, normalised products of tier ``llm``."""
-    grounded = ground_candidates(response_records(responses), documents)
+    grounded = ground_candidates(response_records(responses), documents, limit)
     raw = grounded.select(
         "page_id", "rec_no", F.col("url").alias("page_url"), "source_category",
         F.lit("llm").alias("tier"), "fields",
@@ -163,16 +165,13 @@ def evaluate_profiles(matched: DataFrame) -> DataFrame:
     Per profile: best record coverage (3 decimals), number of valid records, signature of its
     first page. Nothing is filtered: a profile without valid records scores 0.
     """
-    raw = extract_records(matched).withColumnRenamed("url", "page_url")
-    records = valid(normalize(raw)).withColumn("coverage", coverage())
-    scores = records.groupBy("domain", "template").agg(
-        F.round(F.max("coverage"), 3).alias("coverage"), F.count("*").alias("valid_records")
+    signed = matched.withColumn("signature", signature(F.col("doc")))
+    raw = extract_records(signed, keep_empty=True).withColumnRenamed("url", "page_url")
+    records = normalize(raw).withColumn("coverage", coverage())
+    good = F.col("rec_no").isNotNull() & F.col("reason").isNull()
+    return records.groupBy("domain", "template").agg(
+        F.count_if(F.coalesce("rec_no", F.lit(0)) == 0).alias("pages"),
+        F.min_by("signature", "page_id").alias("signature"),
+        F.coalesce(F.round(F.max(F.when(good, F.col("coverage"))), 3), F.lit(0.0)).alias("coverage"),
+        F.count_if(good).alias("valid_records"),
     )
-    sampled = matched.withColumn("signature", signature(F.col("doc"))).groupBy("domain", "template").agg(
-        F.min_by("signature", "page_id").alias("signature"), F.count("*").alias("pages")
-    )
-    return sampled.join(scores, ["domain", "template"], "left").select(
-        "domain", "template", "pages", "signature",
-        F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
-        F.coalesce("valid_records", F.lit(0)).alias("valid_records"),
-    )

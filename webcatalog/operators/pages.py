@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +16,28 @@ BLOCK_MARKERS = [
     "just a moment", "attention required", "cf-browser-verification", "cf-chl-",
     "/cdn-cgi/challenge", "access denied", "enable javascript",
 ]
+# Marks further down belong to a page's own text.
+BLOCK_HEAD = 4000
 # Fixed order of the landmark tags in a template signature.
 LANDMARKS = ["html", "head", "body", "header", "nav", "main", "footer", "form"]
 HINT_TAGS = ["h1", "h2", "h3", "table", "ul", "dl"]
 
 
-def with_documents(pages: DataFrame) -> DataFrame:
-    """Replace ``html`` by the parsed ``doc`` column, so raw markup is never carried along."""
-    return pages.withColumn("doc", parse_html("html")).drop("html")
+def with_documents(pages: DataFrame, node_types: Iterable[str] | None = None) -> DataFrame:
+    """Replace ``html`` by the parsed ``doc`` column, so raw markup is never carried along.
+
+    ``node_types``: as in :func:`parse_html`.
+    """
+    return pages.withColumn("doc", parse_html("html", node_types)).drop("html")
+
+
+def _cut(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
 
 
-def is_blocked(status: Column, html: Column) -> Column:
-    head = F.lower(F.substring(html, 1, 4000))
+def is_blocked(status: Column, html: Column, head_chars: int | None = BLOCK_HEAD) -> Column:
+    """Whether the status or a mark in the first ``head_chars`` characters (None: all) says so."""
+    head = F.lower(_cut(html, head_chars))
     marked = head.rlike("|".join(BLOCK_MARKERS))
     return F.coalesce(status.isin(BLOCK_STATUSES), F.lit(False)) | F.coalesce(marked, F.lit(False))
 
@@ -59,45 +71,44 @@ def visible_texts(doc: Column, dropped: int) -> Column:
     )
 
 
-def clean_text(doc: Column, limit: int = 6000) -> Column:
-    """Readable page text, one stripped line per string, cut at ``limit`` characters."""
+def clean_text(doc: Column, limit: int | None = 6000) -> Column:
+    """Readable page text, one stripped line per string, cut at ``limit`` characters (None: whole)."""
     joined = F.array_join(visible_texts(doc, HIDDEN | CHROME), "\n")
-    return F.substring(F.array_join(lines(joined), "\n"), 1, limit)
+    return _cut(F.array_join(lines(joined), "\n"), limit)
 
 
-def clean_texts(documents: DataFrame, limit: int = 6000) -> DataFrame:
+def clean_texts(documents: DataFrame, limit: int | None = 6000) -> DataFrame:
     return documents.withColumn("text", clean_text(F.col("doc"), limit)).drop("doc")
 
 
-def jsonld_sample(documents: DataFrame, limit: int = 3000) -> DataFrame:
-    """Single-valued node types of each page, and the JSON of its first three nodes."""
-    types = F.array_sort(
-        F.array_distinct(F.flatten(F.transform("doc.nodes", lambda n: n["types"])))
-    )
-    first = F.transform(F.slice("doc.nodes", 1, 3), lambda n: n["json"])
+def jsonld_sample(documents: DataFrame, limit: int | None = 3000, nodes: int = 3) -> DataFrame:
+    """Single-valued node types of each page, and the JSON of its first ``nodes`` nodes."""
+    single = F.filter("doc.nodes", lambda n: ~n["listed"])
+    types = F.array_sort(F.array_distinct(F.flatten(F.transform(single, lambda n: n["types"]))))
+    first = F.transform(F.slice("doc.nodes", 1, nodes), lambda n: n["json"])
     sample = F.when(
         F.size(first) > 0, F.concat(F.lit("["), F.array_join(first, ", "), F.lit("]"))
     ).otherwise("(none)")
     return documents.withColumn("jsonld_types", types).withColumn(
-        "jsonld_sample", F.substring(sample, 1, limit)
+        "jsonld_sample", _cut(sample, limit)
     ).drop("doc")
 
 
-def structure_hint(doc: Column, limit: int = 2500) -> Column:
-    """Outline lines ``tag.classes :: first 60 characters``.
+def structure_hint(doc: Column, limit: int | None = 2500, chars: int = 60, classes_shown: int = 3) -> Column:
+    """Outline lines ``tag.classes :: first characters``.
 
     Cutting the joined lines at ``limit`` equals stopping at the first line beyond it.
     """
     texts, skips = doc["texts"], doc["text_skip"]
 
     def line(e: Column) -> Column:
-        classes = F.array_join(F.slice(e["classes"], 1, 3), ".")
+        classes = F.array_join(F.slice(e["classes"], 1, classes_shown), ".")
         own = F.filter(
             F.slice(texts, e["t0"] + 1, e["t1"] - e["t0"]),
             lambda _, i: F.get(skips, e["t0"] + i).bitwiseAND(F.lit(HIDDEN)) == 0,
         )
-        # Sixty characters never need more than sixty strings.
-        text = F.substring(F.array_join(F.slice(own, 1, 60), " "), 1, 60)
+        # So many characters never need more strings.
+        text = F.substring(F.array_join(F.slice(own, 1, chars), " "), 1, chars)
         suffix = F.coalesce(F.concat(F.lit("."), blank_to_null(classes)), F.lit(""))
         return F.concat(e["tag"], suffix, F.lit(" :: "), text)
 
@@ -105,10 +116,10 @@ def structure_hint(doc: Column, limit: int = 2500) -> Column:
         doc["elems"],
         lambda e: e["tag"].isin(HINT_TAGS) & (e["skip"].bitwiseAND(F.lit(HIDDEN)) == 0),
     )
-    return F.substring(F.array_join(F.transform(marked, line), "\n"), 1, limit)
+    return _cut(F.array_join(F.transform(marked, line), "\n"), limit)
 
 
-def structure_hints(documents: DataFrame, limit: int = 2500) -> DataFrame:
+def structure_hints(documents: DataFrame, limit: int | None = 2500) -> DataFrame:
     return documents.withColumn("hints", structure_hint(F.col("doc"), limit)).drop("doc")
 
 

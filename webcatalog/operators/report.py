@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webcatalog.functions.basics import blank_to_null, strip
 from webcatalog.schemas import CATALOG_COVERAGE_FIELDS, REPORT_COLUMNS
+from webcatalog.session import reliable_checkpoint
 from webcatalog.sources.local import broadcast_if_small
 
 # Fixed pattern of a result count in page source.
@@ -121,8 +122,11 @@ def signature_drift(signed: DataFrame) -> DataFrame:
     """Pages whose signature differs from their profile's.
 
     ``signed``: domain, template, url, seq, signature, template_signature. A profile without a
-    signature is pinned to the one of its first page.
+    signature is pinned to the one of its first page. The narrow table is written first, so the
+    pages behind it are parsed once.
     """
+    names = ["domain", "template", "url", "seq", "signature", "template_signature"]
+    signed = reliable_checkpoint(signed.select(*names))
     pins = signed.where("template_signature is null").groupBy("domain", "template").agg(
         F.min_by("signature", "seq").alias("pinned")
     )

@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webcatalog.functions.html import EXTRACTED_TYPES
 from webcatalog.operators import api as A
-from webcatalog.operators.enrich import enrich_products, gap_fill
+from webcatalog.operators.enrich import enrich_products, gap_fill, ground_fields, response_records
 from webcatalog.operators.extract import extract_records
 from webcatalog.operators.normalize import normalize, valid, with_coverage
-from webcatalog.operators.pages import is_blocked, with_documents
+from webcatalog.operators.pages import clean_text, is_blocked, revalidation_sample, with_documents
 from webcatalog.operators.profiles import match_profiles, template_for
 from webcatalog.operators.state import upsert_products
 from webcatalog.options import Options
 from webcatalog.schemas import PRODUCT_COLUMNS
+from webcatalog.session import reliable_checkpoint
 from webcatalog.sources.writers import export_all, write_run_summary
 
 
@@ -25,7 +27,7 @@ def match_pages(pages: DataFrame, compiled: DataFrame) -> DataFrame:
     flagged = pages.withColumn("blocked", blocked).withColumn(
         "html", F.when(~F.col("blocked"), F.col("html"))
     )
-    return match_profiles(with_documents(flagged), compiled, template_for(F.col("kind")))
+    return match_profiles(with_documents(flagged, EXTRACTED_TYPES), compiled, template_for(F.col("kind")))
 
 
 def page_records(
@@ -52,35 +54,66 @@ def build_catalog(
     options: Options = Options(),
     repair: Callable[[DataFrame], DataFrame] | None = None,
     regex: bool | None = None,
+    revalidation_rate: float = 0.0,
 ) -> DataFrame:
     """Products from listing pages, upserted on their key in page order.
 
-    ``repair`` is the hook for batch inference: it takes the drafts of low-coverage pages and
-    returns candidate records that fill their gaps.
+    ``repair`` is the hook for batch inference. It takes the pages whose records cover too
+    little, those without any record included, and a share ``revalidation_rate`` of all pages
+    (page_id, url, source_category, seq, page_text), and returns model answers
+    (page_id, text). The objects in them are checked against the page text and fill gaps.
     """
-    records = valid(page_records(pages, compiled, regex=regex))
-    if repair is not None:
-        records = _repaired(records, repair, options)
+    if repair is None:
+        records = valid(page_records(pages, compiled, regex=regex))
+    else:
+        records = _repaired(pages, compiled, repair, options, regex, revalidation_rate)
     stamp = as_of if as_of is not None else F.current_timestamp()
     batch = stamped(records, stamp).withColumn("_at", F.struct("seq", "rec_no"))
     return upsert_products(existing, batch.select(*PRODUCT_COLUMNS, "_at"), "_at").select(*PRODUCT_COLUMNS)
 
 
-def _repaired(records: DataFrame, repair, options: Options) -> DataFrame:
-    scored = with_coverage(records, options.strict_availability)
-    low = scored.groupBy("page_id").agg(F.avg("coverage").alias("c")).where(
-        F.col("c") < options.min_coverage
-    ).select("page_id")
-    drafts = records.join(low, "page_id", "left_semi")
-    filled = gap_fill(drafts, repair(drafts))
-    return records.join(low, "page_id", "left_anti").unionByName(filled)
+def _repaired(
+    pages: DataFrame, compiled: DataFrame, repair: Callable[[DataFrame], DataFrame], options: Options,
+    regex: bool | None, revalidation_rate: float,
+) -> DataFrame:
+    """Valid records, those of low-coverage pages completed from the hook's grounded answers.
+
+    Drafts, the pages asked about and the answers are each written once, so the hook, which may
+    be costly and give different answers every time, runs once.
+    """
+    matched = match_pages(pages, compiled).where("not blocked and template is not null")
+    raw = extract_records(matched, regex=regex, keep_empty=True).withColumnRenamed("url", "page_url")
+    keep = ["page_id", "seq", "rec_no", "page_url", "source_category", "tier", "fields"]
+    rows = reliable_checkpoint(normalize(raw.select(*keep, F.col("page_url").alias("asked_url"))))
+    good = F.col("rec_no").isNotNull() & F.col("reason").isNull()
+    scored = with_coverage(rows, options.strict_availability).groupBy("page_id").agg(
+        F.first("asked_url").alias("url"), F.coalesce(F.avg(F.when(good, F.col("coverage"))), F.lit(0.0)).alias("c")
+    )
+    low = scored.where(F.col("c") < options.min_coverage)
+    again = revalidation_sample(scored, revalidation_rate)
+    ids = reliable_checkpoint(low.union(again).select("page_id").distinct())
+    markup = pages.select("page_id", "url", "source_category", "seq", "html").join(ids, "page_id", "left_semi")
+    asked = reliable_checkpoint(
+        with_documents(markup, EXTRACTED_TYPES).withColumn("page_text", clean_text(F.col("doc"), None)).drop("doc")
+    )
+    answers = reliable_checkpoint(repair(asked).select("page_id", "text"))
+    found = response_records(answers).join(asked, "page_id")
+    grounded = found.withColumn("fields", ground_fields(F.col("fields"), F.lower("page_text"), F.col("url")))
+    candidates = grounded.select(
+        "page_id", "seq", "rec_no", F.col("url").alias("page_url"), "source_category", F.lit("llm").alias("tier"), "fields",
+        F.col("url").alias("asked_url"),
+    )
+    drafts = valid(rows.where("rec_no is not null"))
+    filled = gap_fill(drafts.join(ids, "page_id", "left_semi"), valid(normalize(candidates)))
+    return drafts.join(ids, "page_id", "left_anti").unionByName(filled).drop("asked_url")
 
 
 def enrich_from_details(
-    products: DataFrame, pages: DataFrame, compiled: DataFrame, as_of: Column | None = None
-) -> DataFrame:
+    products: DataFrame, pages: DataFrame, compiled: DataFrame, as_of: Column | None = None,
+    regex: bool | None = None,
+) -> DataFrame:
     """Detail-page pass: extract product pages and merge them into the catalog."""
-    details = valid(page_records(pages, compiled, tier="mixed", regex=False))
+    details = valid(page_records(pages, compiled, tier="mixed", regex=regex))
     if as_of is not None:
         details = stamped(details, as_of)
     return enrich_products(products, details, "seq")
@@ -106,9 +139,12 @@ def build_catalog_api(
     existing: DataFrame | None = None,
     as_of: Column | None = None,
 ) -> DataFrame:
-    """Products from paged API responses, upserted in (category, page, hit) order."""
+    """Products from paged API responses, upserted in queue order.
+
+    That is (``seq`` of the response's category, where there is one, category, page, hit).
+    """
     records = valid(api_records(responses, options, config))
-    order = F.struct("category_id", "api_page", "hit_no")
+    order = F.struct("seq", "category_id", "api_page", "hit_no")
     stamp = as_of if as_of is not None else F.current_timestamp()
     batch = stamped(records, stamp).withColumn("_at", order)
     return upsert_products(existing, batch.select(*PRODUCT_COLUMNS, "_at"), "_at").select(*PRODUCT_COLUMNS)
@@ -124,11 +160,11 @@ def route_pages(
     """
     matched = match_pages(pages, compiled).withColumn("has_profile", F.col("template").isNotNull())
     raw = extract_records(matched, keep_empty=True).withColumnRenamed("url", "page_url")
-    staged = raw.withColumn("_url", F.col("page_url"))
+    staged = raw.withColumn("asked_url", F.col("page_url"))
     records = with_coverage(normalize(staged), options.strict_availability)
     good = F.col("rec_no").isNotNull() & F.col("reason").isNull()
     scored = records.groupBy("page_id").agg(
-        F.first("_url").alias("url"), F.first("kind").alias("kind"), F.first("status").alias("status"),
+        F.first("asked_url").alias("url"), F.first("kind").alias("kind"), F.first("status").alias("status"),
         F.first("blocked").alias("blocked"), F.first("has_profile").alias("has_profile"),
         F.count_if(good).alias("records"),
         F.coalesce(F.avg(F.when(good, F.col("coverage"))), F.lit(0.0)).alias("coverage"),

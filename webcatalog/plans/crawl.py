@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webcatalog.functions.html import EXTRACTED_TYPES
 from webcatalog.operators.discover import with_links
 from webcatalog.operators.pages import is_blocked, with_documents
 from webcatalog.operators.profiles import match_profiles
@@ -25,7 +26,7 @@ from webcatalog.session import checkpoint_folder, reliable_checkpoint
 def archive_links(pages: DataFrame, compiled: DataFrame, options: Options = Options()) -> DataFrame:
     """Per archived page: ``blocked``, ``ok`` and the category links to follow, in queue order."""
     flagged = pages.withColumn("blocked", is_blocked(F.col("status"), F.col("html")))
-    documents = with_documents(flagged.select("page_id", "url", "blocked", "html"))
+    documents = with_documents(flagged.select("page_id", "url", "blocked", "html"), EXTRACTED_TYPES)
     matched = match_profiles(documents, compiled, F.lit("catalog-listing"))
     ok = ~F.col("blocked") & F.col("template").isNotNull()
     nothing = F.array().cast("array<struct<url: string, name: string, sub: boolean>>")

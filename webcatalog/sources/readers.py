@@ -47,15 +47,18 @@ _PROFILE_FILE_DDL = (
 )
 
 
-def _json_files(spark: SparkSession, root: str, ddl: str) -> DataFrame:
+def _json_files(spark: SparkSession, root: str, ddl: str, names: str) -> DataFrame:
     # File sources skip names that start with ``_``, so recipes never show up as profiles.
     reader = spark.read.schema(ddl).option("multiLine", True).option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", "*.json").json(root)
+    return reader.option("pathGlobFilter", names).json(root)
 
 
-def read_profiles(spark: SparkSession, root: str) -> DataFrame:
-    """Profile documents ``<domain>/<template>.json``; unknown keys are dropped."""
-    files = _json_files(spark, root, _PROFILE_FILE_DDL)
+def read_profiles(spark: SparkSession, root: str, names: str = "*.json") -> DataFrame:
+    """Profile documents ``<domain>/<template>.json``; unknown keys are dropped.
+
+    A file holds one document or an array of them.
+    """
+    files = _json_files(spark, root, _PROFILE_FILE_DDL, names)
     filled = files.withColumns(
         {
             "url_glob": F.col("match.url_glob"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,16 +27,19 @@ def stream_catalog(
 ) -> StreamingQuery:
     """Upsert every micro-batch of pages into a catalog table, as a change log.
 
-    A batch writes only its own winners into ``batch_id=<n>``, overwriting that folder, so a
-    replay is harmless and the cost follows the batch, not the catalog. Readers resolve the
-    latest row per key (:func:`read_incremental`); :func:`compact` folds the log.
+    A batch writes only its own winners into ``log/started=<ms>/batch_id=<n>``, so the cost
+    follows the batch, not the catalog. A start of a stream has a folder of its own: it never
+    overwrites what an earlier one wrote, and a batch that is replayed after a restart merely
+    repeats its rows. Readers resolve the latest row per key (:func:`read_incremental`);
+    :func:`compact` folds the log. One stream writes to a table at a time.
     """
+    folder = f"{table}/log/started={time.time_ns() // 1_000_000}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         records = stamped(valid(page_records(batch, compiled, regex=regex)), F.current_timestamp())
         rows = records.withColumn("write_order", F.struct("seq", "rec_no"))
         winners = latest(rows.select(*PRODUCT_COLUMNS, "write_order"), "dedup_key", "write_order")
-        winners.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        winners.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -44,17 +49,44 @@ def stream_catalog(
     )
 
 
+def _rows(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows below a folder, with ``at``, the place of their batch; None where there are none."""
+    try:
+        rows = spark.read.parquet(folder)
+    except AnalysisException:
+        return None
+    return rows.withColumn("at", F.struct(F.col("started").cast("long").alias("started"), F.col("batch_id").cast("long").alias("batch_id"))).drop("started", "batch_id")
+
+
+def _current(spark: SparkSession, table: str) -> DataFrame:
+    """Latest row per key of the newest base and the batches after it."""
+    base, log = _rows(spark, f"{table}/base"), _rows(spark, f"{table}/log")
+    if base is None:
+        return latest(log, "dedup_key", F.struct("at", "write_order"))
+    newest = base.agg(F.max("at").alias("at")).first().at
+    at = F.struct(F.lit(newest.started).cast("long").alias("started"), F.lit(newest.batch_id).cast("long").alias("batch_id"))
+    rows = base.where(F.col("at") == at)
+    if log is not None:
+        rows = rows.unionByName(log.where(F.col("at") > at))
+    return latest(rows, "dedup_key", F.struct("at", "write_order"))
+
+
 def read_incremental(spark: SparkSession, table: str) -> DataFrame:
     """Current catalog of a change log: the latest batch wins per key."""
-    log = spark.read.parquet(table)
-    return latest(log, "dedup_key", F.struct("batch_id", "write_order")).select(*PRODUCT_COLUMNS)
+    return _current(spark, table).select(*PRODUCT_COLUMNS)
 
 
-def compact(spark: SparkSession, table: str, target: str) -> None:
-    """Write the folded log to a fresh table, as its batch 0."""
-    log = spark.read.parquet(table)
-    current = latest(log, "dedup_key", F.struct("batch_id", "write_order"))
-    current.drop("batch_id").write.mode("errorifexists").parquet(f"{target}/batch_id=0")
+def compact(spark: SparkSession, table: str) -> None:
+    """Fold base and log into a new base beside the log.
+
+    The base is named by the last batch it holds; a stream that runs on adds batches after it.
+    Folded batches and older bases may then be deleted.
+    """
+    log = _rows(spark, f"{table}/log")
+    last = log.agg(F.max("at").alias("at")).first().at
+    upto = F.struct(F.lit(last.started).cast("long").alias("started"), F.lit(last.batch_id).cast("long").alias("batch_id"))
+    folded = _current(spark, table).where(F.col("at") <= upto).drop("at")
+    folded.write.mode("errorifexists").parquet(f"{table}/base/started={last.started}/batch_id={last.batch_id}")
 
 
 def stream_frontier(urls: DataFrame, within: str | None = None, at: str = "at") -> DataFrame:
@@ -76,7 +108,7 @@ _ALERT_DDL = (
     "dedup_key string, scraped_at timestamp, price double, availability string,"
     " prev_price double, prev_availability string, event string"
 )
-_STATE_DDL = "price double, availability string"
+_STATE_DDL = "price double, availability string, at timestamp"
 
 
 def _event(price, availability, before) -> str | None:
@@ -91,21 +123,29 @@ def _event(price, availability, before) -> str | None:
 
 def _alerts(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     before = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("scraped_at")
+    rows = pd.concat(list(batches)).sort_values(["scraped_at", "price", "availability"], kind="stable")
     out = []
     for at, price, availability in zip(rows.scraped_at, rows.price, rows.availability):
+        if before is not None and at < before[2]:
+            continue  # late: a newer observation has been compared already
         price = None if pd.isna(price) else float(price)
         event = _event(price, availability, before)
         if event:
-            out.append((key[0], at, price, availability, *(before or (None, None)), event))
-        before = (price, availability)
-    state.update(before)
+            out.append((key[0], at, price, availability, *(before[:2] if before else (None, None)), event))
+        before = (price, availability, at)
+    if before is not None:
+        state.update(before)
     columns = ["dedup_key", "scraped_at", "price", "availability", "prev_price", "prev_availability", "event"]
     yield pd.DataFrame(out, columns=columns)
 
 
 def stream_alerts(observations: DataFrame) -> DataFrame:
-    """Change alerts over a stream of observations; state is one (price, availability) per key."""
+    """Change alerts over a stream of observations; state is the newest observation per key.
+
+    Observations older than it are dropped; a micro-batch's rows of a key are sorted in memory.
+    Timeless observations are dropped too.
+    """
+    observations = observations.where("scraped_at IS NOT NULL")
     return observations.groupBy("dedup_key").applyInPandasWithState(
         _alerts, _ALERT_DDL, _STATE_DDL, "append", "NoTimeout"
     )
