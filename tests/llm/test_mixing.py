@@ -86,5 +86,6 @@ def test_edges(spark):
     assert set(count) == {(1, "x"), (2, "x"), (3, "empty"), (None, None), (4, "y")}
     assert count[(1, "x")] >= 2 and count[(3, "empty")] == count[(4, "y")] == 1 and count[(None, None)] == 3
     assert mixing.realise(docs.limit(0), repetition_limit=2.0).count() == 0
+    assert mixing.realise(docs.where("text IS NULL OR text = ''"), repetition_limit=2.0).count() == 2
     with pytest.raises(ValueError):
         mixing.realise(docs).count()

@@ -81,19 +81,16 @@ def find_exponent(shares: DataFrame, target_entropy: float | None, repetition_li
 
 def weights(sized: DataFrame, target_entropy: float | None, repetition_limit: float | None) -> DataFrame:
     """``(source, source_tokens, share, weight, passes)`` of every source."""
-    totals = sized.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    every = totals.agg(F.sum("source_tokens").alias("all_tokens"))
-    totals = written(totals.crossJoin(F.broadcast(every)), "sources")  # one row beside each source
-    shares = totals.where("source_tokens > 0").select((F.col("source_tokens") / F.col("all_tokens")).alias("p"))
-    a = find_exponent(shares, target_entropy, repetition_limit)
-    share = F.col("source_tokens") / F.col("all_tokens")
-    raw = F.when(F.col("source_tokens") > 0, F.pow(share, F.lit(a)))
-    weighed = totals.select("source", "source_tokens", share.alias("share"), raw.alias("raw"))
-    norm = weighed.agg(F.sum("raw").alias("z"), F.min(F.col("raw") / F.col("share")).alias("least"))
-    weighed = weighed.crossJoin(F.broadcast(norm))
-    passes = F.when(F.col("source_tokens") > 0, F.round(F.col("raw") / F.col("share") / F.col("least"), 9)).otherwise(1.0)
-    weight = F.coalesce(F.col("raw") / F.col("z"), F.lit(0.0))
-    return weighed.select("source", "source_tokens", "share", weight.alias("weight"), passes.alias("passes"))
+    totals = written(sized.groupBy("source").agg(F.sum("tokens").alias("source_tokens")), "sources")
+    tokens = totals.agg(F.sum("source_tokens")).first()[0] or 0
+    share = F.col("source_tokens") / F.lit(max(tokens, 1))
+    has_tokens = F.col("source_tokens") > 0
+    a = find_exponent(totals.where(has_tokens).select(share.alias("p")), target_entropy, repetition_limit)
+    raw = F.pow(share, F.lit(a))
+    norm, least = totals.where(has_tokens).agg(F.sum(raw), F.min(raw / share)).first()
+    weight = F.when(has_tokens, raw / F.lit(norm)).otherwise(0.0)
+    passes = F.when(has_tokens, F.round(raw / share / F.lit(least), 9)).otherwise(1.0)
+    return totals.select("source", "source_tokens", share.alias("share"), weight.alias("weight"), passes.alias("passes"))
 
 
 def mix(
