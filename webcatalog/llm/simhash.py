@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.llm.common import written
+from webcatalog.llm.common import whole_text, written
 from webcatalog.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -53,13 +53,17 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "bits"])
+        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "tie", "bits"])
+
+
+def _tie():
+    return F.xxhash64(whole_text())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, bits)`` of every row; ``bits`` is the fingerprint as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, bits long")
+    """``(doc_id, tie, bits)`` of every row: ``tie`` the text's hash, ``bits`` the fingerprint as a signed long."""
+    return docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints, "doc_id long, tie long, bits long")
 
 
 def _half(bits: str, side: int) -> str:
@@ -112,7 +116,7 @@ def _narrow(own: DataFrame, big: DataFrame, ball) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, group_limit: int = 512) -> DataFrame:
-    """``(doc_id, bits, component_id, kept)`` for every row of ``docs``."""
+    """``(doc_id, tie, bits, component_id, kept)`` for every row of ``docs``."""
     marks = written(fingerprints(docs), "fingerprints")
     classes = marks.groupBy("bits").agg(F.min("doc_id").alias("first_id"))
     found = components(ball_links(classes.select("bits"), group_limit))
@@ -121,18 +125,19 @@ def near_duplicates(docs: DataFrame, group_limit: int = 512) -> DataFrame:
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(names, "component").select("bits", "component_id")
     return marks.join(named, "bits").select(
-        "doc_id", "bits", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
+        "doc_id", "tie", "bits", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
     )
 
 
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each component: the first row of its smallest doc_id.
+    """``docs`` with one row for each component: the one of its smallest doc_id.
 
-    Rows without a doc_id can't be named as anyone's copy and stay.
+    Of rows with that doc_id the one with the smallest hash of the text stays, once. Rows
+    without a doc_id can't be named as anyone's copy and all stay.
     """
-    marks = written(near_duplicates(docs).where("doc_id IS NOT NULL"), "near-duplicates")
-    dropped = marks.where("NOT kept").select("doc_id")
-    twice = marks.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(dropped.union(twice).distinct(), "doc_id", "left_anti")
-    repeated = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).select(docs.columns)
+    marks = near_duplicates(docs).where("doc_id IS NOT NULL")
+    first = marks.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("r"))
+    first = written(first.where("r.doc_id = component_id").select("r.*"), "first-of-each")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("tie", _tie())
+    kept = keyed.join(first, ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id", "tie"])
+    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
