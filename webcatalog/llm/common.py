@@ -8,8 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webcatalog.session import ship_package
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts to a Python worker at once; Spark's own number is meant for narrow rows.
+TEXTS_PER_BATCH = 500
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with this package on its workers and batches that bound their memory."""
+    if int(spark.conf.get(BATCH_ROWS)) > TEXTS_PER_BATCH:
+        spark.conf.set(BATCH_ROWS, str(TEXTS_PER_BATCH))
+    return ship_package(spark)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.

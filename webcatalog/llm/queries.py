@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webcatalog.llm import mixing, packing, quality, secret_scan, sharding, simhash, suffix_dedup, token_records, toxicity, vector_links
-from webcatalog.llm.common import fresh_path, read_documents, written
-from webcatalog.session import ship_package
+from webcatalog.llm.common import fresh_path, read_documents, ready, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(ship_package(spark), folder)
+        QUERIES[name] = lambda spark, folder: fn(ready(spark), folder)
         if sql:
             ORACLES[name] = sql
         return fn
