@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from webcatalog.llm import near_copies, simhash
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def similarity(a, b):
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def made_texts():
+    """40 texts of their own, 40 copies of at least 0.8 and beyond three bits, 40 copies below 0.75."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for k in range(40):
+        words = [word() for _ in range(300)]
+        texts[k] = " ".join(words)
+        for base, changes in ((100, 4), (200, 12)):
+            copy = list(words)
+            for n in range(changes):
+                copy[10 + n * (280 // changes)] = word()
+            texts[base + k] = " ".join(copy)
+    return texts
+
+
+def test_stage_joins_copies_of_four_fifths_and_no_others(spark):
+    texts = made_texts()
+    assert all(similarity(texts[k], texts[100 + k]) >= 0.8 and similarity(texts[k], texts[200 + k]) < 0.75 for k in range(40))
+    far = [bin(simhash.fingerprint(texts[k]) ^ simhash.fingerprint(texts[100 + k])).count("1") > 3 for k in range(40)]
+    assert sum(far) > 20  # the three bits of op10 miss them
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, FOLDER).collect()}
+    assert {k for k in texts if k < 100 or k >= 200} <= left
+    assert sum(k in left for k in texts if 100 <= k < 200) <= 2
+
+
+def test_pairs_of_the_table(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = near_copies.near_copies(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()
+    part = {r.doc_id: r.component for r in rows}
+    long = [i for i in texts if grams(texts[i])]
+    for a, b in combinations(long, 2):
+        assert part[a] == part[b] or similarity(texts[a], texts[b]) < 0.8
+    assert len(rows) == len(texts)
+
+
+def test_large_group_and_edges(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    copies = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(150)]
+    rows = list(enumerate(copies)) + [(500, None), (501, " "), (502, "one"), (503, "ONE"), (503, "ONE")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.keep_first_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 500, 502]
+    assert near_copies.keep_first_of_each(docs.limit(0)).count() == 0

@@ -35,20 +35,27 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of ``size`` words, repeats included; of all words where there are fewer."""
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
-    size = min(SHINGLE, len(words))
+        return np.empty(0, np.uint64)
+    size = min(size, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
     shingles = [joined[s:e] for s, e in zip(starts, ends[size - 1 :].tolist(), strict=True)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def fingerprint(text: str | None) -> int:
+    """The unsigned 64-bit SimHash of one text."""
+    hashes = shingle_hashes(text)
+    if not len(hashes):
+        return 0
     octets = hashes.view(np.uint8).reshape(-1, 8)
     votes = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
