@@ -9,11 +9,13 @@ the characters of their letter words, and the ``DICTIONARY`` words that most tex
 The tables hold no labelled findings, so ``silver`` labels them: provider formats and values
 assigned to a credential's name are secrets, other candidates are not. A table of labelled
 findings (doc_id, start, secret) takes its place where given. The forest is fitted on at most
-``sample_rows`` findings (smallest hashes); scanning and counting cover all rows and whole texts.
+``sample_rows`` findings, half of them of each label (smallest hashes), so that rare secrets are
+always among them; weights make up for the share that is taken of a label. Scanning and counting
+cover all rows and whole texts.
 
-Defined results: null text has no candidates; with fewer than ``LEAST_LABELS`` labels of either
-kind a finding keeps its label, 0 or 1, as its probability; repeated rows give their findings each; further columns are
-ignored; an empty table gives an empty table.
+Defined results: null text has no candidates; where all labels are of one kind there is nothing
+to learn, and that kind is the probability, 0 or 1, of every finding; repeated rows give their
+findings each; further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from webcatalog.llm.common import written
 
-SAMPLE_ROWS, DICTIONARY, NEIGHBOURS, OFTEN, LEAST_LABELS = 20_000, 20_000, 2_000, 3, 20
+SAMPLE_ROWS, DICTIONARY, NEIGHBOURS, OFTEN = 20_000, 20_000, 2_000, 3
 CANDIDATE = r"[A-Za-z0-9_+/.@\-]{8,}={0,2}"
 MASK = "[secret]"
 _CANDIDATE, _DIGIT, _WORD = re.compile(CANDIDATE), re.compile(r"\d"), re.compile(r"[A-Za-z]{3,}")
@@ -157,10 +159,12 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample_rows: int =
         marks = labelled.select("doc_id", "start", F.col("secret").cast("int").alias("label")).dropDuplicates(["doc_id", "start"])
         found = found.join(marks, ["doc_id", "start"], "left")
     found = written(found, "findings")
-    sample = found.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id", "start", "value"), "doc_id", "start").limit(sample_rows)
+    totals = {r.label: r.n for r in found.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    part = lambda label: found.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", "start", "value"), "doc_id", "start")
+    sample = part(0).limit(sample_rows // 2).union(part(1).limit(sample_rows // 2))
     sample = written(sample, "labelled")  # the documented bound
-    share, yes, no = sample.agg(F.avg("label"), F.sum("label"), F.sum(1 - F.col("label"))).first()
-    enough = share is not None and min(yes, no) >= LEAST_LABELS
+    share = sample.agg(F.avg("label")).first()[0]
+    enough = len(totals) == 2
     neighbours = _neighbours(sample, share) if enough else {}
     numbers = ", ".join(f"f_{c} double" for c in FEATURES)
     kept = "doc_id long, tie int, start int, end int, value string, label int"
@@ -172,8 +176,10 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample_rows: int =
         p = F.coalesce(F.col("label").cast("double"), F.lit(float(share or 0)))
         return found.select(*result, p.alias("p_secret"), (p > 0.5).alias("is_secret"))
     assemble = VectorAssembler(inputCols=[f"f_{c}" for c in FEATURES], outputCol="features")
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=40, maxDepth=6, seed=7)
-    model = forest.fit(assemble.transform(written(as_rows(sample), "labelled-features")))
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=40, maxDepth=6, seed=7)
+    taken = {k: min(n, sample_rows // 2) for k, n in totals.items()}
+    weight = F.when(F.col("label") == 1, totals[1] / taken[1]).otherwise(totals[0] / taken[0])
+    model = forest.fit(assemble.transform(written(as_rows(sample), "labelled-features")).withColumn("weight", weight))
     judged = model.transform(assemble.transform(as_rows(found)))
     p = vector_to_array("probability")[1]
     return judged.select(*result, p.alias("p_secret"), (p > 0.5).alias("is_secret"))
