@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 import string
+from collections import Counter
+
+import pyarrow as pa
 
 from webcatalog.llm import secret_scan
 from webcatalog.llm.queries import QUERIES
@@ -46,3 +50,16 @@ def test_rare_label_is_in_a_bounded_sample(spark, monkeypatch):
     found = secret_scan.scan(docs, sample_rows=100).collect()
     assert seen == [(50, 12)]
     assert {r.doc_id for r in found if r.is_secret} == set(range(2000, 2012))
+
+
+def test_every_word_of_every_text_counts(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    monkeypatch.setattr(secret_scan, "HELD_WORDS", 50)  # words are passed on many times
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "tie": [0] * 300, "text": texts})
+    got = Counter()
+    for out in secret_scan._scan(iter([batch])):
+        for r in out.to_pylist():
+            if r["kind"] == "word":
+                got[r["word"]] += r["n"]
+    assert got == Counter(re.findall("[a-z]{3,}", " ".join(texts)))

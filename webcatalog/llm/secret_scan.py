@@ -3,8 +3,8 @@
 Candidates are runs of ``CANDIDATE`` with a digit, or of 16 characters with two capitals. The forest judges them by length, make-up,
 character transitions, dictionary coverage, whether they stand in a path or address, and the
 words beside them. Transitions and dictionary are counted over all texts: transitions between
-the characters of their letter words, and the ``DICTIONARY`` words that most texts use
-``OFTEN`` times or more.
+the characters of their letter words, and the ``DICTIONARY`` commonest words. Every word of
+every text counts; a task adds up to ``HELD_WORDS`` distinct words before it passes them on.
 
 The tables hold no labelled findings, so ``silver`` labels them: provider formats and values
 assigned to a credential's name are secrets, other candidates are not. A table of labelled
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from webcatalog.llm.common import written
 
-SAMPLE_ROWS, DICTIONARY, NEIGHBOURS, OFTEN = 20_000, 20_000, 2_000, 3
+SAMPLE_ROWS, DICTIONARY, NEIGHBOURS, HELD_WORDS = 20_000, 20_000, 2_000, 50_000
 CANDIDATE = r"[A-Za-z0-9_+/.@\-]{8,}={0,2}"
 MASK = "[secret]"
 _CANDIDATE, _DIGIT, _WORD = re.compile(CANDIDATE), re.compile(r"\d"), re.compile(r"[A-Za-z]{3,}")
@@ -96,6 +96,12 @@ def transition_counts(text: str) -> np.ndarray:
     return np.bincount(pairs, minlength=CLASSES * CLASSES)
 
 
+def _word_rows(words: Counter) -> pa.RecordBatch:
+    columns = {"kind": ["word"] * len(words), "word": list(words), "n": list(words.values())}
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(words), f.type) for f in _SCAN]
+    return pa.RecordBatch.from_arrays(arrays, schema=_SCAN)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates, and at the end of the task its counts."""
     transitions, words = np.zeros(CLASSES * CLASSES, np.int64), Counter()
@@ -105,10 +111,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             found += [{"kind": "candidate", "doc_id": doc_id, "tie": tie} | c for c in candidates(text)]
             transitions += transition_counts(text)
-            words.update(w for w, n in Counter(_WORD.findall(text.lower())).items() if n >= OFTEN)
-        found += [{"kind": "word", "word": w, "n": n} for w, n in words.items()]
-        words.clear()
+            words.update(_WORD.findall(text.lower()))
+            if len(words) > HELD_WORDS:
+                yield _word_rows(words)
+                words.clear()
         yield pa.RecordBatch.from_pylist(found, schema=_SCAN)
+    yield _word_rows(words)
     yield pa.RecordBatch.from_pylist([{"kind": "transitions", "counts": transitions.tolist()}], schema=_SCAN)
 
 
