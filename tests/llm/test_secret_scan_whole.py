@@ -63,3 +63,35 @@ def test_every_word_of_every_text_counts(monkeypatch):
             if r["kind"] == "word":
                 got[r["word"]] += r["n"]
     assert got == Counter(re.findall("[a-z]{3,}", " ".join(texts)))
+
+
+FORMS = [
+    ('{{"password": "{}"}}', "hunter2!"), ('"api_key": "{}",', "q8Zr41xPLm"), ("'token': '{}'", "a9f3kk21bb"), ("api-key: {}", "zz91-kfmq-71"),
+    ("pwd={}", "S3same!open"), ("Authorization: Bearer {}", "eyJhbGciOi.eyJzdWIi.s1gn-x"), ('password = "{}"', "correcthorsebatterystaple"),
+    ("password={}", "Tr0ub4dor&3x!yz99"), ('client_secret => "{}"', "mnbvcxzasd"), ('"Authorization": "Bearer {}"', "abcDEF123456"), ('passphrase: "{}"', "correct hörse battery staple"),
+]
+
+
+def test_common_forms_are_found_whole_and_masked(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k in range(len(FORMS) * 6):
+        form, value = FORMS[k % len(FORMS)]
+        rows.append((k, f"first line {rng.random()} " + form.format(value) + " and the rest"))
+        want[k] = rows[-1][1].replace(value, "[secret]")
+    rows += [(1000 + k, f"author: Someone{k}, the secret: nobody knows; password: required. See report-{k:04d}.txt") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secret_scan.scan(docs)
+    texts = {r.doc_id: r.text for r in secret_scan.redact(docs, found).collect()}
+    assert {k: texts[k] for k in want} == want
+    assert all(texts[k] == t for k, t in rows if k >= 1000)
+
+
+def test_values_and_ordinary_assignments():
+    values = lambda t: [(t[s:e], secret_scan.likely(t[s:e], q)) for s, e, q in secret_scan.assigned_values(t)]
+    for form, value in FORMS:
+        assert values(form.format(value)) == [(value, True)]
+    assert not any(ok for _, ok in values('password = os.environ["X"], token: None; secret: "${VAULT}" password=********'))
+    assert values("author: Somebody compass: northwards authority=central") == []
+    spans = [(c["start"], c["end"]) for c in secret_scan.candidates("password=Tr0ub4dor&3x!yz99 card 4041894974608795")]
+    assert spans == [(9, 26), (32, 48)]

@@ -1,13 +1,17 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are runs of ``CANDIDATE`` with a digit, or of 16 characters with two capitals. The forest judges them by length, make-up,
+Candidates are the whole values, quoted or up to the next space, that follow a credential's name,
+whatever their characters; and elsewhere runs of ``CANDIDATE`` with a digit, or of 16 characters
+with two capitals. Between name and value may stand a closing quote, ``=``, ``:``, ``=>`` or ``:=``,
+a scheme word (Bearer, Basic, Token) and an opening quote. The forest judges candidates by length, make-up,
 character transitions, dictionary coverage, whether they stand in a path or address, and the
 words beside them. Transitions and dictionary are counted over all texts: transitions between
 the characters of their letter words, and the ``DICTIONARY`` commonest words. Every word of
 every text counts; a task adds up to ``HELD_WORDS`` distinct words before it passes them on.
 
 The tables hold no labelled findings, so ``silver`` labels them: provider formats and values
-assigned to a credential's name are secrets, other candidates are not. A table of labelled
+assigned to a credential's name are secrets, unless they look like a placeholder or an unquoted
+short word; other candidates are not. A table of labelled
 findings (doc_id, start, secret) takes its place where given. The forest is fitted on at most
 ``sample_rows`` findings, half of them of each label (smallest hashes), so that rare secrets are
 always among them; weights make up for the share that is taken of a label. Scanning and counting
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +47,19 @@ MASK = "[secret]"
 _CANDIDATE, _DIGIT, _WORD = re.compile(CANDIDATE), re.compile(r"\d"), re.compile(r"[A-Za-z]{3,}")
 _UPPERS = re.compile("[A-Z].*[A-Z]")
 _BESIDE = re.compile(r"\w+|[=:\"'/@#]")
-_ASSIGNED = re.compile(r"(?i)\b(\w*(?:password|passwd|secret|token|api_?key|access_?key|auth)\w*)\s*[=:]\s*[\"']?$")
+_SIGN = re.compile(r"[=:]")
+_NAME = re.compile(
+    r"(?i)(?:(pass(?:word|wd|phrase|code)|(?<![a-z])pass|pwd)|secret|token|credentials?|(?:api|access|private|auth|signing|encryption)[_\- ]?key"
+    r"|(?<![a-z])auth(?:orization)?)(?:[_.\-][\w.\-]*|\d+)?[\"'`]?\s*$"
+)
+_VALUE = re.compile(r"(?i)[=:>]{0,2}\s*(?:(?:bearer|basic|token)\s+)?(?:([\"'`])((?:(?!\1)[^\n\\]|\\.)*)\1|(\S+))")
+_SCHEME = re.compile(r"(?i)(?:bearer|basic|token)\s+")
+_AFTER = ".,;:)]}>\"'`"
+LEAST_VALUE = 6
+_PLACEHOLDER = re.compile(
+    r"(?i)none|null|nil|true|false|undefined|required|optional|changeme|redacted|password|secret|token"
+    r"|(.)\1*|<.*|\[.*|\$\{?\w*\}?.{0,2}|\{\{?.*|%.*%|(?:os\.|process\.|env\.|self\.|config\.|settings\.|getenv).*|\w+(?:\.\w+)*\(.*"
+)
 _PROVIDER = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}")
 #: Character classes for transitions: letters, digits each as one, upper case as one, others.
 CLASSES = 30
@@ -67,30 +84,75 @@ _SCAN = pa.schema([
 KEPT = ["doc_id", "tie", "start", "end", "value", "label"]
 
 
+def assigned_values(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, quoted) of values that follow a credential's name, in order, without overlaps."""
+    after = 0
+    for m in _SIGN.finditer(text):
+        if m.start() < after:
+            continue
+        name = _NAME.search(text[max(0, m.start() - 80) : m.start()])
+        found = name and _VALUE.match(text, m.end())
+        if not found:
+            continue
+        quoted = found[1] is not None
+        start, end = found.span(2 if quoted else 3)
+        if quoted:
+            scheme = _SCHEME.match(text, start, end)
+            start = scheme.end() if scheme else start
+            if not name[1] and re.search(r"\s", text[start:end]):
+                continue  # a sentence; only passwords hold spaces
+        else:
+            end = start + len(text[start:end].rstrip(_AFTER))
+            start = end - len(text[start:end].lstrip("\"'`"))
+        if end - start >= LEAST_VALUE:
+            yield start, end, quoted
+            after = end
+
+
 def candidates(text: str) -> Iterator[dict]:
     """Candidates of one text with what stands beside them; positions are code points."""
+    named = list(assigned_values(text))
+    for start, end, quoted in named:
+        yield _candidate(text, start, end, text[start:end], likely(text[start:end], quoted))
+    starts, ends = [x[0] for x in named], [x[1] for x in named]
     for m in _CANDIDATE.finditer(text):
         value = m.group().rstrip(".")
         if len(value) < 8 or not (_DIGIT.search(value) or (len(value) >= 16 and _UPPERS.search(value))):
             continue
         start, end = m.start(), m.start() + len(value)
-        head, tail = text[max(0, start - 80) : start], text[end : end + 40]
-        beside, after = _BESIDE.findall(head.lower()), _BESIDE.findall(tail.lower())
-        yield {
-            "start": start, "end": end, "value": value, "assigned": bool(_ASSIGNED.search(head)),
-            "in_path": "/" in value or head.endswith(("/", "\\")) or "://" in head.rsplit(" ", 1)[-1],
-            "before_1": beside[-1] if beside else "", "before_2": beside[-2] if len(beside) > 1 else "", "after_1": after[0] if after else "",
-        }
+        if bisect_right(ends, start) == bisect_left(starts, end):  # overlaps no value above
+            yield _candidate(text, start, end, value, False)
+
+
+def _candidate(text: str, start: int, end: int, value: str, assigned: bool) -> dict:
+    head, tail = text[max(0, start - 80) : start], text[end : end + 40]
+    beside, after = _BESIDE.findall(head.lower()), _BESIDE.findall(tail.lower())
+    return {
+        "start": start, "end": end, "value": value, "assigned": assigned,
+        "in_path": "/" in value or head.endswith(("/", "\\")) or "://" in head.rsplit(" ", 1)[-1],
+        "before_1": beside[-1] if beside else "", "before_2": beside[-2] if len(beside) > 1 else "", "after_1": after[0] if after else "",
+    }
+
+
+def likely(value: str, quoted: bool) -> bool:
+    """Whether a value behind a credential's name may be one: no placeholder, no plain word of a sentence."""
+    if _PLACEHOLDER.fullmatch(value):
+        return False
+    return quoted or len(value) >= 16 or not value.isalpha()
 
 
 def silver(value: str, assigned: bool) -> bool:
-    return bool(_PROVIDER.fullmatch(value)) or (assigned and bool(re.search("[A-Za-z]", value)))
+    return bool(_PROVIDER.fullmatch(value)) or (assigned and bool(re.search(r"[^\W\d_]", value)))
+
+
+def _classes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return np.where(raw < 128, _CLASS[np.minimum(raw, 127)], 29)
 
 
 def transition_counts(text: str) -> np.ndarray:
     """Transitions between character classes inside the letter words of a text."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    classes = np.where(raw < 128, _CLASS[np.minimum(raw, 127)], 29)
+    classes = _classes(text)
     letters = classes < 27
     pairs = (classes[:-1] * CLASSES + classes[1:])[letters[:-1] & letters[1:]]
     return np.bincount(pairs, minlength=CLASSES * CLASSES)
@@ -129,7 +191,7 @@ def _features(transitions: np.ndarray, dictionary: set[str], neighbours: dict[tu
             rows = []
             for r in batch.to_pylist():
                 v, n = r["value"], len(r["value"])
-                classes = _CLASS[np.frombuffer(v.encode("ascii"), np.uint8)]
+                classes = _classes(v)
                 counts = np.array(list(Counter(v).values())) / n
                 rows.append((
                     n, sum(c.isdigit() for c in v) / n, sum(c.isupper() for c in v) / n, sum(not c.isalnum() for c in v) / n,
