@@ -129,11 +129,15 @@ def mix(
 
 
 def realise(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture uses it."""
+    """The rows of ``docs``, one for each use, in ``mix_order`` over the partitions.
+
+    Rows of one block and pass follow each other in the order of a hash.
+    """
     mixed = mix(written(sizes(docs), "sizes"), target_entropy, repetition_limit, seed)
-    uses = written(mixed.groupBy("doc_id", "tie", "source").agg(F.count("*").alias("uses")), "uses")
-    uses = uses.select(F.struct("doc_id", "tie", "source").alias("of"), "uses")
+    place = F.xxhash64("doc_id", "tie", "epoch", F.lit(seed)).alias("place")
+    uses = written(mixed.select("doc_id", "tie", "source", "epoch", "mix_order", place), "uses")
+    uses = uses.select(F.struct("doc_id", "tie", "source").alias("used"), F.struct("mix_order", "place", "epoch", "doc_id", "tie").alias("use"))
     keyed = docs.withColumn("of", F.struct("doc_id", F.xxhash64(whole_text()).alias("tie"), "source"))
-    once = keyed.dropDuplicates(["of"])  # the uses of equal rows are counted together
-    joined = once.join(uses.withColumnRenamed("of", "used"), F.col("of").eqNullSafe(F.col("used")))
-    return joined.withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses")))).select(docs.columns)
+    once = keyed.dropDuplicates(["of"])  # each of equal rows has its own uses
+    joined = once.join(uses, F.col("of").eqNullSafe(F.col("used")))
+    return joined.repartitionByRange("use.mix_order", "use.place").sortWithinPartitions("use").select(docs.columns)
