@@ -82,7 +82,7 @@ SHARDS = [f"shard-{k:04d}" for k in range(256)]
 
 @query("op1_sharding")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.assign_shards(read_documents(spark, folder).select("doc_id"), ["doc_id"], SHARDS)
+    placed = sharding.assign_shards(read_documents(spark, folder), ["doc_id"], SHARDS)
     return placed.select("doc_id", "slot", "shard")
 
 
