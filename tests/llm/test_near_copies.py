@@ -64,3 +64,11 @@ def test_large_group_and_edges(spark):
     kept = near_copies.keep_first_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 500, 502]
     assert near_copies.keep_first_of_each(docs.limit(0)).count() == 0
+
+
+def test_rows_without_id_are_ranked_last(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, long), (7, long), (None, long + " end"), (None, "other words of a text without id"), (None, "Other words of a text without id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.keep_first_of_each(docs).collect()
+    assert len(kept) == 2 and sorted(r.doc_id or -1 for r in kept) == [-1, 7]
