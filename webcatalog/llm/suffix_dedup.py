@@ -4,13 +4,14 @@ A text is read as UTF-8 bytes. A hash of every ``GRAM`` bytes triggers phrases:
 string takes the smallest hash inside it as its trigger, and the strings of one trigger make
 one phrase. Neighbouring phrases overlap by 99 bytes, so every 100-byte string is a prefix of
 exactly one phrase suffix, and equal strings lie in phrases of the same trigger, at the same
-distance from it. Corpus order to a depth of 100 bytes then comes from two sorted tables:
+distance from it. Repeats of 100 bytes then come from two tables:
 
 * the parse: occurrences of phrases by (trigger, content, doc_id, start). All but the first
   occurrence of a phrase are repeats as a whole, however often it occurs;
 * the dictionary: distinct phrases whose trigger has another distinct phrase. Only their
-  suffixes can differ phrase by phrase and still share strings; they are ordered by (distance
-  to the trigger, 100 bytes), and all but the earliest of equal ones are repeats.
+  suffixes can differ phrase by phrase and still share strings; a hash table of a trigger,
+  filled in corpus order, looks them up by (distance to the trigger, 100 bytes), and all but
+  the earliest of equal ones are repeats. Suffixes themselves are not sorted.
 
 The suffix order of the parse itself is not needed: 99 bytes of overlap settle every
 comparison of 100 bytes within the dictionary.
@@ -43,6 +44,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text hashed at once, and phrases that a task reduces at once.
 CHUNK_BYTES, BLOCK_PHRASES = 4 << 20, 1_000_000
+#: Dictionary phrases of a trigger whose strings (69 each at most) one task holds in a hash table of about 100 MB.
+CROWD_LIMIT = 3_000
 NO_ID = -(1 << 63)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -217,7 +220,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.hash("text").alias("tie"), "text")
 
 
-def repeated_spans(docs: DataFrame, crowd_limit: int = 100_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
     """``(doc_id, tie, start, n)``: the strings of 100 bytes at ``start .. start + n - 1`` are repeats."""
     keyed = _keyed(docs)
     rows = keyed.mapInArrow(_parse, PHRASES).repartition("fp").sortWithinPartitions("fp", "h", "doc_id", "tie", "start")
@@ -275,7 +278,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def remove_repeats(docs: DataFrame, crowd_limit: int = 100_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, runs)`` for every row; ``runs`` are the removed bytes."""
     spans = written(repeated_spans(docs, crowd_limit), "spans")
     of_text = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
