@@ -13,6 +13,8 @@ from webcatalog.session import ship_package
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The tables that ``written`` made and nothing has dropped yet, with their folders.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 #: Whole texts to a Python worker at once; Spark's own number is meant for narrow rows.
 TEXTS_PER_BATCH = 500
 
@@ -52,7 +54,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = table, path
+    return table
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = _WRITTEN.pop(id(table), (None, None))[1]
+        if path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcatalog.llm import mixing, packing, quality, secret_scan, sharding, simhash, suffix_dedup, token_records, toxicity, vector_links
+from webcatalog.llm import (
+    collocations, exact_dedup, lexical_search, mixing, packing, quality, secret_scan, sharding, simhash, suffix_dedup, token_records, toxicity,
+    vector_links,
+)
 from webcatalog.llm.common import fresh_path, read_documents, ready, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +157,77 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read_documents(spark, folder))
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id", "kept")
+
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH_SQL = f"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({LOWER}, '{TERM}') AS terms FROM documents),
+sized AS (SELECT doc_id, row, terms, len(terms)::BIGINT AS n FROM split WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM sized),
+tf AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+held AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, row, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words)))))::BIGINT AS score
+  FROM held JOIN weights USING (term) JOIN tf USING (term) JOIN sized USING (row), total GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= {lexical_search.TOP}
+"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(read_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+EXACT_SQL = """
+WITH digested AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER best = 1 AS kept, text_sha256, false AS known
+FROM digested WINDOW best AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
+"""
+
+
+@query("op12_exact_dedup", EXACT_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "digest-index"))
+    return exact_dedup.deduplicate(read_documents(spark, folder), index)
+
+
+PHRASE_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{collocations.OTHER}') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+phrases AS (
+  SELECT lang, k AS words, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS parts, f AS a FROM phrases WHERE words > 1 AND f >= {collocations.MIN_COUNT}),
+cuts AS (SELECT lang, phrase, a, parts, unnest(range(1, words)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, (2000000 * a::HUGEINT // (x.f + y.f))::BIGINT AS score, k
+  FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(parts[1:k], ' ')
+  JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(parts[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(parts[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, (SELECT unnest(range(1, 4)) AS i), (SELECT unnest(range(2, 4)) AS k) WHERE k < words AND i + k - 1 <= words GROUP BY ALL),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= {collocations.TOP}
+"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_documents(spark, folder))
