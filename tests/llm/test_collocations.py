@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from webcatalog.llm import collocations
@@ -80,11 +81,25 @@ def test_trie_bursts_and_spills_whole_subtrees():
     assert out == want and trie.entries == 0
 
 
-def test_bitmap_has_every_key(spark):
-    rows = [("en", f"w{k} x") for k in range(3000)]
-    known = collocations.bitmap(ready(spark).createDataFrame(rows, "lang string, phrase string"))
-    assert all(known(f"{lang}\0{p}".encode()) for lang, p in rows)
-    assert sum(known(f"de\0{p}".encode()) for _, p in rows) < 600
+def test_bitmap_has_every_hash(spark):
+    rows = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 6000)
+    known = collocations.bitmap(ready(spark).createDataFrame([(int(h),) for h in rows[:3000]], "h long"))
+    found = known.has(rows.view(np.uint64))
+    assert found[:3000].all() and found[3000:].sum() < 600
+
+
+def test_words_hash_as_in_spark(spark):
+    words = collocations._Words(None)
+    words.ids("de", ["über".encode(), b"."])
+    row = spark.sql("SELECT xxhash64(concat('de', '\\0', 'über')) AS h").first()
+    assert np.array(words.hash, np.uint64).view(np.int64).tolist() == [row.h]
+
+
+def test_texts_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK", 7)  # goes along with the function
+    monkeypatch.setattr(collocations, "HASHES", 11)
+    rows = text_rows(11, 120)
+    assert found(spark, rows, min_count=4, limit=30) == brute(rows, 4, 2000)
 
 
 def test_long_text(spark):

@@ -7,10 +7,11 @@ holds ``LIMIT`` entries, its largest subtrees are spilled whole, each as a run s
 phrase, until half is free. Runs go to a table; ranges of its order are the prefix partitions in which
 runs are merged. The ranges follow the data, so a prefix with a third of all rows gets many of them.
 
-Three rounds over the texts: words, word pairs, longer phrases. A phrase counts only if its parts may reach
-``min_count``, as its own count can't be higher than theirs. What may reach it is told by a bitmap over
-hashes of the frequent parts, ``BITS`` bits at most, which is broadcast: a false positive costs time and
-changes nothing, so the bitmap needn't grow with the vocabulary.
+The tries get only phrases that may reach ``min_count``, as most others occur once. Three rounds over the
+texts find these: words are counted, then 64-bit hashes of word pairs, then those of longer phrases, each
+only where its parts may be frequent (its count can't be higher than theirs). A round leaves a bitmap over hashes,
+``BITS`` bits at most, which is broadcast. Equal hashes add up, so nothing frequent is lost; a false
+positive costs time and changes nothing, as the tries count by word, and so the bitmap needn't grow with the data.
 
 ``collocations`` scores the frequent phrases. Cutting one after k words gives l and r, the counts of its
 two parts, and floor(2000000 * a / (l + r)); the lowest cut counts. Phrases of which a
@@ -23,9 +24,11 @@ lang and text are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import gc
+from array import array
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -35,16 +38,21 @@ from webcatalog.llm.common import drop_tables, written
 
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 BURST, LIMIT = 2048, 500_000
+#: Bits of a word's number in a task, above what ``LIMIT`` and a chunk can add.
 WORD_BITS = 21
-WORDS = (1 << WORD_BITS) - 2
-BITS = 1 << 30
+#: Words of texts, hashes of phrases and rows of a run that a task handles at once.
+CHUNK, HASHES, RUN_ROWS = 100_000, 4_000_000, 20_000
+BITS = 1 << 28
 SALTS = 64
 OTHER = "und"
 
-#: A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
+#: What ends a piece; never part of a word.
+END = b"."
+#: A-Z in lower case, all ends of pieces alike, tabs as spaces.
+FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else END[0] if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 RUNS = "lang string, phrase string, f long"
 _MASK = (1 << WORD_BITS) - 1
+_BREAK = np.array([-1])
 
 
 class Node(dict):
@@ -110,101 +118,108 @@ class HatTrie:
                 yield first, list(under.items())
 
 
+def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of their first words and of their last one."""
+    z = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (y + np.uint64(0x632BE59BD9B4E019))
+    return (z ^ (z >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Bitmap:
-    """Which keys may be present, by their hash; ``bits`` is a power of two."""
+    """Which hashes may be present; ``bits`` is a power of two."""
 
     def __init__(self, bits: int, parts: dict[int, bytes]):
-        self.bits, self.parts = bits, parts
+        self.bits, self.set = bits, np.zeros(bits // 8, np.uint8)
+        for part, octets in parts.items():
+            self.set[part << 12 : (part + 1) << 12] = np.frombuffer(octets, np.uint8)
 
-    def __call__(self, key: bytes) -> bool:
-        at = xxhash.xxh64_intdigest(key, seed=42) & (self.bits - 1)
-        part = self.parts.get(at >> 15)
-        return part is not None and bool(part[(at & 0x7FFF) >> 3] >> (at & 7) & 1)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64(self.bits - 1)
+        return (self.set[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(counts: DataFrame) -> Bitmap:
-    """Of the phrases in ``counts(lang, phrase)``: 16 bits for each, ``BITS`` at most."""
-    bits = min(BITS, max(1 << 15, 1 << (16 * counts.count()).bit_length()))
-    at = F.pmod(F.xxhash64(F.concat("lang", F.lit("\0"), "phrase")), F.lit(bits))
-    parts = counts.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part"))
+def bitmap(hashes: DataFrame) -> Bitmap:
+    """Of the written table ``hashes(h)``: 16 bits for each, ``BITS`` at most."""
+    bits = min(BITS, max(1 << 15, 1 << (16 * hashes.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
+    parts = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part"))
     rows = parts.agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("set")).collect()  # BITS / 8 bytes at most
     return Bitmap(bits, {r["part"]: bytes(r["set"]) for r in rows})
 
 
-class _Counter:
-    """What a task has counted so far, of phrases of ``orders`` words."""
+class _Known(dict):
+    """Word -> id in one language; -1 for words that are too rare, and for the end of a piece."""
+
+    def __init__(self, lang: str, words: _Words):
+        self.lang, self.words = lang, words
+        self[END] = -1
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = self.words.number(self.lang, word)
+        return k
+
 
-    def __init__(self, orders: tuple[int, ...], word_filter: Bitmap | None, pair_filter: Bitmap | None, limit: int, burst: int):
-        self.orders, self.word_filter, self.pair_filter, self.limit = orders, word_filter, pair_filter, limit
-        self.trie, self.single = HatTrie(burst), Counter()  # single words need no trie
-        self._forget()
+class _Words:
+    """The words that a task has met, numbered; whole texts become arrays of their numbers."""
 
-    def _forget(self) -> None:
-        self.ids: dict[str, dict[bytes, int]] = {}  # by language; -1 is too rare
+    def __init__(self, frequent: Bitmap | None):
+        self.frequent = frequent
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, _Known] = {}
         self.words: list[tuple[str, bytes]] = []
-        self.pairs: dict[int, bool] = {}
+        self.hash = array("Q")
         self.met = 0
 
-    def _id(self, lang: str, known: dict[bytes, int], word: bytes) -> int:
+    def number(self, lang: str, word: bytes) -> int:
         self.met += 1
-        k = -1
-        if self.word_filter is None or self.word_filter(lang.encode() + b"\0" + word):
-            k = len(self.words)
-            self.words.append((lang, word))
-        known[word] = k
-        return k
-
-    def _pair(self, a: int, b: int) -> bool:
-        key = a << WORD_BITS | b
-        known = self.pairs.get(key)
+        h = xxhash.xxh64_intdigest(lang.encode() + b"\0" + word, seed=42)
+        if self.frequent is not None and not self.frequent.has(np.array([h], np.uint64))[0]:
+            return -1
+        self.words.append((lang, word))
+        self.hash.append(h)
+        return len(self.words) - 1
+
+    def ids(self, lang: str, words: list[bytes]) -> np.ndarray:
+        known = self.known.get(lang)
         if known is None:
-            lang, first = self.words[a]
-            known = self.pairs[key] = self.pair_filter(lang.encode() + b"\0" + first + b" " + self.words[b][1])
-        return known
-
-    def add(self, lang: str, piece: list[bytes]) -> None:
-        known = self.ids.setdefault(lang, {})
-        ids = [known[w] if w in known else self._id(lang, known, w) for w in piece]
-        put = self.trie.add
-        if self.orders == (1,):
-            self.single.update(ids)
-        elif self.orders == (2,):
-            for a, b in zip(ids, ids[1:], strict=False):
-                if a >= 0 and b >= 0:
-                    put(a, b + 1)
-        else:
-            good = [a >= 0 and b >= 0 and self._pair(a, b) for a, b in zip(ids, ids[1:], strict=False)]
-            for i, start in enumerate(good):
-                tail, j = ids[i + 1] + 1, i + 1
-                while start and j < len(good) and good[j] and j - i < LONGEST - 1:
-                    tail |= ids[j + 1] + 1 << WORD_BITS * (j - i)
-                    put(ids[i], tail)
-                    j += 1
-
-    def full(self) -> bool:
-        return self.trie.entries >= self.limit or self.met >= min(self.limit, WORDS) or len(self.pairs) >= 2 * self.limit
-
-    def runs(self, everything: bool) -> Iterator[pa.RecordBatch]:
-        """Rows of whole subtrees, each sorted by phrase."""
-        crowded = everything or self.met >= min(self.limit, WORDS) or len(self.pairs) >= 2 * self.limit
-        langs, phrases, counts = [], [], []
-        if self.single:
-            run = sorted((*self.words[k], c) for k, c in self.single.items())
-            self.single.clear()
-            for at in range(0, len(run), 20_000):
-                yield _rows(*zip(*run[at : at + 20_000], strict=True))
-        for first, tails in self.trie.spill(0 if crowded else self.limit // 2):
-            lang, head = self.words[first]
-            run = sorted((head + b"".join(b" " + self.words[(t >> s & _MASK) - 1][1] for s in range(0, t.bit_length(), WORD_BITS)), c) for t, c in tails)
-            langs += [lang] * len(run)
-            phrases += [p for p, _ in run]
-            counts += [c for _, c in run]
-            if len(counts) >= 20_000:
-                yield _rows(langs, phrases, counts)
-                langs, phrases, counts = [], [], []
-        yield _rows(langs, phrases, counts)
-        if crowded:
-            self._forget()
+            known = self.known[lang] = _Known(lang, self)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def chunks(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        """(ids, starts): word ids of texts, -1 between pieces; only phrases within the first ``starts`` begin here."""
+        held, n = [], 0
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = text.translate(FOLD).replace(END, b" . ").split()
+            if n and n + len(words) > CHUNK:
+                yield np.concatenate(held), n
+                held, n = [], 0
+            if len(words) < CHUNK:
+                held += [self.ids(lang, words), _BREAK]
+                n += len(words) + 1
+                continue
+            for at in range(0, len(words), CHUNK):  # overlaps by the rest of a phrase
+                yield self.ids(lang, words[at : at + CHUNK + LONGEST - 1]), CHUNK
+        if n:
+            yield np.concatenate(held), n
+
+    def phrases(self, ids: np.ndarray, starts: int, *filters: Bitmap | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, positions, hashes) of the phrases of two and more words whose parts may be frequent.
+
+        ``filters`` are those of phrases of two, three .. words; None lets all pass.
+        """
+        hashes = np.frombuffer(self.hash, np.uint64)[ids] if self.hash else np.zeros(len(ids), np.uint64)
+        x, good = hashes, ids >= 0
+        for size, known in enumerate(filters, 2):
+            m = max(0, len(ids) - size + 1)
+            x, good = mix(x[:m], hashes[size - 1 :]), good[:m] & good[1 : m + 1]
+            at = np.flatnonzero(good)
+            if known is not None:
+                at = at[known.has(x[at])]
+                good = np.zeros(m, bool)
+                good[at] = True
+            at = at[at < starts]
+            yield size, at, x[at]
 
 
 def _rows(langs: list[str], phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
@@ -213,22 +228,107 @@ def _rows(langs: list[str], phrases: list[bytes], counts: list[int]) -> pa.Recor
     )
 
 
-def runs(docs: DataFrame, orders: tuple[int, ...], words: Bitmap | None = None, pairs: Bitmap | None = None, limit: int = LIMIT, burst: int = BURST) -> DataFrame:
-    """``(lang, phrase, f)``: the sorted runs of all tasks; a phrase occurs in several."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+def _texts(docs: DataFrame) -> DataFrame:
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(OTHER))
+    return docs.select(lang.alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def word_runs(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``(lang, phrase, f)``: the words of each task, sorted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = _Words(None), np.zeros(0, np.int64)
+
+        def run() -> Iterator[pa.RecordBatch]:
+            rows = sorted((*w, int(c)) for w, c in zip(words.words, total, strict=True) if c)
+            for at in range(0, len(rows), RUN_ROWS):
+                yield _rows(*zip(*rows[at : at + RUN_ROWS], strict=True))
+
+        for batch in batches:
+            for ids, starts in words.chunks(batch):
+                found = ids[:starts]
+                new = np.bincount(found[found >= 0], minlength=len(words.words))
+                new[: len(total)] += total
+                total = new
+                if words.met >= limit:
+                    yield from run()
+                    words.forget()
+                    total = total[:0]
+        yield from run()
+
+    return _texts(docs).mapInArrow(count, RUNS)
+
+
+def hash_counts(docs: DataFrame, frequent: Bitmap, sizes: Sequence[int], *filters: Bitmap | None, limit: int = LIMIT) -> DataFrame:
+    """``(h, f)``: hashes of phrases of ``sizes`` words with their counts; a hash occurs in several rows."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, filters))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(orders, *shared.value, limit, burst)
+        known, tests = shared.value
+        words, held, n = _Words(known), [], 0
+
+        def summed() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "f"])
+
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece in text.translate(FOLD).split(b"\n"):
-                    counter.add(lang, [w for w in piece.split(b" ") if w])
-                    if counter.full():
-                        yield from counter.runs(False)
-        yield from counter.runs(True)
+            for ids, starts in words.chunks(batch):
+                found = [h for size, _, h in words.phrases(ids, starts, *tests) if size in sizes]
+                held += found
+                n += sum(map(len, found))
+                if n >= HASHES:
+                    yield summed()
+                    held, n = [], 0
+                if words.met >= limit:
+                    words.forget()
+        if n:
+            yield summed()
+
+    return _texts(docs).mapInArrow(count, "h long, f long")
 
-    text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(OTHER)).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return text.mapInArrow(count, RUNS)
+
+def phrase_runs(docs: DataFrame, frequent: Bitmap, *filters: Bitmap, limit: int = LIMIT, burst: int = BURST) -> DataFrame:
+    """``(lang, phrase, f)``: the sorted runs that the tries of all tasks spill; a phrase occurs in several."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, filters))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, tests = shared.value
+        words, trie = _Words(known), HatTrie(burst)
+        gc.disable()  # a trie of many small containers has no cycles
+
+        def runs(left: int) -> Iterator[pa.RecordBatch]:
+            """Rows of whole subtrees, each sorted by phrase."""
+            langs, phrases, counts = [], [], []
+            for first, tails in trie.spill(left):
+                lang, head = words.words[first]
+                name = lambda t, head=head: head + b"".join(b" " + words.words[(t >> s & _MASK) - 1][1] for s in range(0, t.bit_length(), WORD_BITS))
+                run = sorted((name(t), c) for t, c in tails)
+                langs += [lang] * len(run)
+                phrases += [p for p, _ in run]
+                counts += [c for _, c in run]
+                if len(counts) >= RUN_ROWS:
+                    yield _rows(langs, phrases, counts)
+                    langs, phrases, counts = [], [], []
+            yield _rows(langs, phrases, counts)
+
+        try:
+            for batch in batches:
+                for ids, starts in words.chunks(batch):
+                    put = trie.add
+                    for size, at, _ in words.phrases(ids, starts, *tests):
+                        tail = sum((ids[at + j] + 1) << WORD_BITS * (j - 1) for j in range(1, size))
+                        for first, rest in zip(ids[at].tolist(), tail.tolist(), strict=True):
+                            put(first, rest)
+                    if words.met >= limit:
+                        yield from runs(0)
+                        words.forget()
+                    elif trie.entries >= limit:
+                        yield from runs(limit // 2)
+            yield from runs(0)
+        finally:
+            gc.enable()
+
+    return _texts(docs).mapInArrow(count, RUNS)
 
 
 def merged(table: DataFrame) -> DataFrame:
@@ -236,23 +336,29 @@ def merged(table: DataFrame) -> DataFrame:
     return table.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def _frequent_hashes(found: DataFrame, min_count: int) -> Bitmap:
+    kept = written(found.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h"), "hashes")
+    out = bitmap(kept)
+    drop_tables(kept)
+    return out
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, limit: int = LIMIT, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
-    """``(lang, phrase, f)`` of one to ``LONGEST`` words with ``min_count`` or more occurrences; ``(lang, n)``."""
+    """``(lang, phrase, f, words)`` of one to ``LONGEST`` words with ``min_count`` or more occurrences; ``(lang, n)``."""
     frequent = lambda table: written(merged(table).where(F.col("f") >= min_count), "phrases")
-    found = written(runs(docs, (1,), limit=limit, burst=burst), "word_runs")
+    found = written(word_runs(docs, limit), "word-runs")
     totals = written(found.groupBy("lang").agg(F.sum("f").alias("n")), "words")
     words = frequent(found)
     drop_tables(found)
-    word_filter = bitmap(words)
-    found = written(runs(docs, (2,), word_filter, limit=limit, burst=burst), "pair_runs")
-    pairs = frequent(found)
-    drop_tables(found)
-    longer_than_two = tuple(range(3, LONGEST + 1))
-    found = written(runs(docs, longer_than_two, word_filter, bitmap(pairs), limit=limit, burst=burst), "phrase_runs")
-    longer = frequent(found)
-    drop_tables(found)
-    every = written(words.union(pairs).union(longer).withColumn("words", F.split("phrase", " ")), "frequent")
-    drop_tables(words, pairs, longer)
+    hashed = written(words.select(F.xxhash64(F.concat("lang", F.lit("\0"), "phrase")).alias("h")), "hashes")
+    known = bitmap(hashed)
+    pairs = _frequent_hashes(hash_counts(docs, known, (2,), None, limit=limit), min_count)
+    sizes = range(3, LONGEST + 1)
+    longer = _frequent_hashes(hash_counts(docs, known, sizes, pairs, *[None for _ in sizes], limit=limit), min_count)
+    found = written(phrase_runs(docs, known, pairs, *[longer for _ in sizes], limit=limit, burst=burst), "phrase-runs")
+    phrases = frequent(found)
+    every = written(words.union(phrases).withColumn("words", F.split("phrase", " ")), "frequent")
+    drop_tables(found, hashed, words, phrases)
     return every, totals
 
 
