@@ -98,6 +98,7 @@ def test_words_hash_as_in_spark(spark):
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 7)  # goes along with the function
     monkeypatch.setattr(collocations, "HASHES", 11)
+    monkeypatch.setattr(collocations, "HELD", 5)
     rows = text_rows(11, 120)
     assert found(spark, rows, min_count=4, limit=30) == brute(rows, 4, 2000)
 

@@ -40,8 +40,8 @@ MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 BURST, LIMIT = 2048, 500_000
 #: Bits of a word's number in a task, above what ``LIMIT`` and a chunk can add.
 WORD_BITS = 21
-#: Words of texts, hashes of phrases and rows of a run that a task handles at once.
-CHUNK, HASHES, RUN_ROWS = 100_000, 4_000_000, 20_000
+#: Words of texts, hashes of phrases, phrases and rows of a run that a task handles at once.
+CHUNK, HASHES, HELD, RUN_ROWS = 100_000, 4_000_000, 1_000_000, 20_000
 BITS = 1 << 28
 SALTS = 64
 OTHER = "und"
@@ -69,10 +69,10 @@ class HatTrie:
         self.root: dict[int, dict] = {}
         self.entries, self.burst = 0, burst
 
-    def add(self, first: int, tail: int) -> None:
+    def add(self, first: int, tail: int, count: int = 1) -> None:
         under = self.root.get(first)
         if under is None:
-            self.root[first] = {tail: 1}
+            self.root[first] = {tail: count}
             self.entries += 1
             return
         key = tail
@@ -80,18 +80,18 @@ class HatTrie:
             node, word, key = under, tail & _MASK, tail >> WORD_BITS
             under = node.get(word)
             if under is None:
-                node[word] = {key: 1}
+                node[word] = {key: count}
                 self.entries += 1
                 return
             if key in under:
-                under[key] += 1
+                under[key] += count
             else:
-                under[key] = 1
+                under[key] = count
                 self.entries += 1
         elif key in under:
-            under[key] += 1
+            under[key] += count
         else:
-            under[key] = 1
+            under[key] = count
             self.entries += 1
             if len(under) > self.burst:
                 self._burst(first, under)
@@ -150,11 +150,19 @@ class _Known(dict):
     """Word -> id in one language; -1 for words that are too rare, and for the end of a piece."""
 
     def __init__(self, lang: str, words: _Words):
-        self.lang, self.words = lang, words
+        self.lang, self.prefix, self.words = lang, lang.encode() + b"\0", words
         self[END] = -1
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = k = self.words.number(self.lang, word)
+        words, h = self.words, xxhash.xxh64_intdigest(self.prefix + word, 42)
+        words.met += 1
+        if words.bits is not None and not words.bits[(h & words.last) >> 3] >> (h & 7) & 1:
+            self[word] = -1
+            return -1
+        self[word] = k = len(words.words)
+        words.words.append(word)
+        words.langs.append(self.lang)
+        words.hash.append(h)
         return k
 
 
@@ -162,24 +170,16 @@ class _Words:
     """The words that a task has met, numbered; whole texts become arrays of their numbers."""
 
     def __init__(self, frequent: Bitmap | None):
-        self.frequent = frequent
+        self.bits, self.last = (frequent.set.tobytes(), frequent.bits - 1) if frequent else (None, 0)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, _Known] = {}
-        self.words: list[tuple[str, bytes]] = []
+        self.words: list[bytes] = []
+        self.langs: list[str] = []
         self.hash = array("Q")
         self.met = 0
 
-    def number(self, lang: str, word: bytes) -> int:
-        self.met += 1
-        h = xxhash.xxh64_intdigest(lang.encode() + b"\0" + word, seed=42)
-        if self.frequent is not None and not self.frequent.has(np.array([h], np.uint64))[0]:
-            return -1
-        self.words.append((lang, word))
-        self.hash.append(h)
-        return len(self.words) - 1
-
     def ids(self, lang: str, words: list[bytes]) -> np.ndarray:
         known = self.known.get(lang)
         if known is None:
@@ -228,6 +228,19 @@ def _rows(langs: list[str], phrases: list[bytes], counts: list[int]) -> pa.Recor
     )
 
 
+def _counting(count):
+    """``count`` without the garbage collector, which would walk millions of live objects; none are cyclic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from count(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(OTHER))
     return docs.select(lang.alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -240,7 +253,7 @@ def word_runs(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         words, total = _Words(None), np.zeros(0, np.int64)
 
         def run() -> Iterator[pa.RecordBatch]:
-            rows = sorted((*w, int(c)) for w, c in zip(words.words, total, strict=True) if c)
+            rows = sorted((lang, w, c) for lang, w, c in zip(words.langs, words.words, total.tolist(), strict=True) if c)
             for at in range(0, len(rows), RUN_ROWS):
                 yield _rows(*zip(*rows[at : at + RUN_ROWS], strict=True))
 
@@ -256,7 +269,7 @@ def word_runs(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
                     total = total[:0]
         yield from run()
 
-    return _texts(docs).mapInArrow(count, RUNS)
+    return _texts(docs).mapInArrow(_counting(count), RUNS)
 
 
 def hash_counts(docs: DataFrame, frequent: Bitmap, sizes: Sequence[int], *filters: Bitmap | None, limit: int = LIMIT) -> DataFrame:
@@ -284,7 +297,7 @@ def hash_counts(docs: DataFrame, frequent: Bitmap, sizes: Sequence[int], *filter
         if n:
             yield summed()
 
-    return _texts(docs).mapInArrow(count, "h long, f long")
+    return _texts(docs).mapInArrow(_counting(count), "h long, f long")
 
 
 def phrase_runs(docs: DataFrame, frequent: Bitmap, *filters: Bitmap, limit: int = LIMIT, burst: int = BURST) -> DataFrame:
@@ -293,17 +306,29 @@ def phrase_runs(docs: DataFrame, frequent: Bitmap, *filters: Bitmap, limit: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tests = shared.value
-        words, trie = _Words(known), HatTrie(burst)
-        gc.disable()  # a trie of many small containers has no cycles
+        words, trie, held, n = _Words(known), HatTrie(burst), [], 0
+
+        def fill() -> Iterator[pa.RecordBatch]:
+            """Into the trie with what is held, in its order, equal phrases together."""
+            first, tail = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((tail, first))
+            first, tail = first[order], tail[order]
+            new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (tail[1:] != tail[:-1]))) if len(first) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(new, len(first)))
+            for f, t, c in zip(first[new].tolist(), tail[new].tolist(), counts.tolist(), strict=True):
+                trie.add(f, t, c)
+                if trie.entries >= limit:
+                    yield from runs(limit // 2)
+            held.clear()
 
         def runs(left: int) -> Iterator[pa.RecordBatch]:
             """Rows of whole subtrees, each sorted by phrase."""
             langs, phrases, counts = [], [], []
             for first, tails in trie.spill(left):
-                lang, head = words.words[first]
-                name = lambda t, head=head: head + b"".join(b" " + words.words[(t >> s & _MASK) - 1][1] for s in range(0, t.bit_length(), WORD_BITS))
+                head = words.words[first]
+                name = lambda t, head=head: b" ".join([head, *[words.words[(t >> s & _MASK) - 1] for s in range(0, t.bit_length(), WORD_BITS)]])
                 run = sorted((name(t), c) for t, c in tails)
-                langs += [lang] * len(run)
+                langs += [words.langs[first]] * len(run)
                 phrases += [p for p, _ in run]
                 counts += [c for _, c in run]
                 if len(counts) >= RUN_ROWS:
@@ -311,24 +336,23 @@ def phrase_runs(docs: DataFrame, frequent: Bitmap, *filters: Bitmap, limit: int
                     langs, phrases, counts = [], [], []
             yield _rows(langs, phrases, counts)
 
-        try:
-            for batch in batches:
-                for ids, starts in words.chunks(batch):
-                    put = trie.add
-                    for size, at, _ in words.phrases(ids, starts, *tests):
-                        tail = sum((ids[at + j] + 1) << WORD_BITS * (j - 1) for j in range(1, size))
-                        for first, rest in zip(ids[at].tolist(), tail.tolist(), strict=True):
-                            put(first, rest)
-                    if words.met >= limit:
-                        yield from runs(0)
-                        words.forget()
-                    elif trie.entries >= limit:
-                        yield from runs(limit // 2)
-            yield from runs(0)
-        finally:
-            gc.enable()
+        for batch in batches:
+            for ids, starts in words.chunks(batch):
+                for size, at, _ in words.phrases(ids, starts, *tests):
+                    held.append((ids[at], sum((ids[at + j] + 1) << WORD_BITS * (j - 1) for j in range(1, size))))
+                    n += len(at)
+                forget = words.met >= limit
+                if held and (n >= HELD or forget):
+                    yield from fill()
+                    n = 0
+                if forget:
+                    yield from runs(0)
+                    words.forget()
+        if held:
+            yield from fill()
+        yield from runs(0)
 
-    return _texts(docs).mapInArrow(count, RUNS)
+    return _texts(docs).mapInArrow(_counting(count), RUNS)
 
 
 def merged(table: DataFrame) -> DataFrame:
