@@ -56,7 +56,7 @@ def test_every_word_of_every_text_counts(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(rng.randint(1, 12))) for _ in range(300)]
     monkeypatch.setattr(secret_scan, "HELD_WORDS", 50)  # words are passed on many times
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "tie": [0] * 300, "text": texts})
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "tie": [b""] * 300, "text": texts})
     got = Counter()
     for out in secret_scan._scan(iter([batch])):
         for r in out.to_pylist():

@@ -81,5 +81,7 @@ def test_edges_of_the_input(spark):
     assert got == [(-1, 1), (1, 1), (1, 1), (2, 2), (3, 2), (4, 4), (5, 4)]
     kept = simhash.keep_first_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 4]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+    alone = spark.createDataFrame([(None, "x y z"), (None, "X y z"), (None, "other words")], "doc_id long, text string")
+    assert simhash.keep_first_of_each(alone).count() == 2
     assert simhash.near_duplicates(docs.limit(0)).count() == 0

@@ -13,8 +13,8 @@ from webcatalog.session import ship_package
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: The tables that ``written`` made and nothing has dropped yet, with their folders.
-_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+#: Steps in which a share of all hashes is taken.
+SHARES = 1 << 30
 #: Whole texts to a Python worker at once; Spark's own number is meant for narrow rows.
 TEXTS_PER_BATCH = 500
 
@@ -55,14 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[id(table)] = table, path
+    table.__dict__["written_path"] = path  # for drop_tables
     return table
 
 
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more; other frames are left alone."""
     for table in tables:
-        path = _WRITTEN.pop(id(table), (None, None))[1]
+        path = table.__dict__.pop("written_path", None)
         if path:
             place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
@@ -72,6 +72,29 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def text_tie(column: str = "text"):
+    """What tells texts apart among rows of one or no doc_id: their SHA-256, null taken as empty."""
+    return F.unhex(F.sha2(whole_text(column).cast("binary"), 256))
+
+
+def sampled(rows: DataFrame, total: int, most: int, keys: list[str]) -> DataFrame:
+    """The ``most`` of the ``total`` rows with the smallest hashes of ``keys``.
+
+    A cut of the hashes that leaves somewhat more than these comes before the sort, so what a task sorts and sends
+    doesn't grow with the table.
+    """
+    turn = F.pmod(F.xxhash64(*keys), F.lit(SHARES))
+    cut = SHARES if total <= most else min(SHARES, int((1.2 * most + 100) / total * SHARES))
+    return rows.where(turn < cut).orderBy(turn, *keys).limit(most)
+
+
+def row_tie(docs: DataFrame):
+    """A digest of 128 bits of whole rows, nulls told apart: rows with equal ones are equal."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [*columns, *(c.isNull() for c in columns)]
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+
 def whole_text(column: str = "text"):
     """The text, null taken as empty."""
     return F.coalesce(F.col(column), F.lit(""))

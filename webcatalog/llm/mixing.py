@@ -16,7 +16,8 @@ two steps, over up to ``BUCKETS`` ranges of the permutation and inside each, so
 with a third of all rows spreads over many tasks.
 
 Defined results: null source is a source; null text has no tokens; sources without tokens get
-one pass and no weight; repeated rows count as often as they occur; columns named like the
+one pass and no weight; rows that are equal in all columns count as often as they occur, and rows that
+differ in any are told apart; columns named like the
 results are ignored or replaced; an empty table gives an empty table.
 """
 
@@ -27,17 +28,17 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webcatalog.llm.common import whole_text, written
+from webcatalog.llm.common import drop_tables, row_tie, whole_text, written
 
 BLOCK_TOKENS = 65_536
 BUCKETS = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tie, source, tokens)``: words of each whole text; ``tie`` is the text's hash."""
+    """``(doc_id, tie, source, tokens)``: words of each whole text; ``tie`` is the row's digest."""
     text = whole_text()
     return docs.select(
-        "doc_id", F.xxhash64(text).alias("tie"), "source", F.regexp_count(text, F.lit("[^ \\x09-\\x0D]+")).cast("long").alias("tokens")
+        "doc_id", row_tie(docs).alias("tie"), "source", F.regexp_count(text, F.lit("[^ \\x09-\\x0D]+")).cast("long").alias("tokens")
     )
 
 
@@ -133,11 +134,12 @@ def realise(docs: DataFrame, target_entropy: float | None = None, repetition_lim
 
     Rows of one block and pass follow each other in the order of a hash.
     """
-    mixed = mix(written(sizes(docs), "sizes"), target_entropy, repetition_limit, seed)
-    place = F.xxhash64("doc_id", "tie", "epoch", F.lit(seed)).alias("place")
-    uses = written(mixed.select("doc_id", "tie", "source", "epoch", "mix_order", place), "uses")
-    uses = uses.select(F.struct("doc_id", "tie", "source").alias("used"), F.struct("mix_order", "place", "epoch", "doc_id", "tie").alias("use"))
-    keyed = docs.withColumn("of", F.struct("doc_id", F.xxhash64(whole_text()).alias("tie"), "source"))
-    once = keyed.dropDuplicates(["of"])  # each of equal rows has its own uses
-    joined = once.join(uses, F.col("of").eqNullSafe(F.col("used")))
+    sized = written(sizes(docs), "sizes")
+    mixed = mix(sized, target_entropy, repetition_limit, seed)
+    place = F.xxhash64("tie", "epoch", F.lit(seed)).alias("place")
+    uses = written(mixed.select("tie", "epoch", "mix_order", place), "uses")
+    drop_tables(sized)
+    uses = uses.select(F.col("tie").alias("used"), F.struct("mix_order", "place", "epoch", "tie").alias("use"))
+    once = docs.withColumn("of", row_tie(docs)).dropDuplicates(["of"])  # each of equal rows has its own uses
+    joined = once.join(uses, F.col("of") == F.col("used"))  # rows already lie by ``of``
     return joined.repartitionByRange("use.mix_order", "use.place").sortWithinPartitions("use").select(docs.columns)

@@ -11,7 +11,8 @@ every text counts; a task adds up to ``HELD_WORDS`` distinct words before it pas
 
 The tables hold no labelled findings, so ``silver`` labels them: provider formats and values
 assigned to a credential's name are secrets, unless they look like a placeholder or an unquoted
-short word; other candidates are not. A table of labelled
+short word; other candidates are not. The forest doesn't see which rule fired, only the value and its surroundings,
+so it can overrule a label. A table of labelled
 findings (doc_id, start, secret) takes its place where given. The forest is fitted on at most
 ``sample_rows`` findings, half of them of each label (smallest hashes), so that rare secrets are
 always among them; weights make up for the share that is taken of a label. Scanning and counting
@@ -29,6 +30,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.llm.common import written
+from webcatalog.llm.common import SHARES, drop_tables, sampled, text_tie, written
 
 SAMPLE_ROWS, DICTIONARY, NEIGHBOURS, HELD_WORDS = 20_000, 20_000, 2_000, 50_000
 CANDIDATE = r"[A-Za-z0-9_+/.@\-]{8,}={0,2}"
@@ -69,15 +71,15 @@ _CLASS[ord("A") : ord("Z") + 1] = 26
 _CLASS[ord("0") : ord("9") + 1] = 27
 _CLASS[[ord(c) for c in "-_/.+@="]] = 28
 FEATURES = [
-    "length", "digits", "uppers", "marks", "hex", "entropy", "transitions", "coverage", "in_path", "assigned",
+    "length", "digits", "uppers", "marks", "hex", "entropy", "transitions", "coverage", "in_path",
     "before_1", "before_2", "after_1",
 ]
 SCAN = (
-    "kind string, doc_id long, tie int, start int, end int, value string, assigned boolean, in_path boolean,"
+    "kind string, doc_id long, tie binary, start int, end int, value string, assigned boolean, in_path boolean,"
     " before_1 string, before_2 string, after_1 string, word string, n long, counts array<long>"
 )
 _SCAN = pa.schema([
-    ("kind", pa.string()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()),
+    ("kind", pa.string()), ("doc_id", pa.int64()), ("tie", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()),
     ("assigned", pa.bool_()), ("in_path", pa.bool_()), ("before_1", pa.string()), ("before_2", pa.string()), ("after_1", pa.string()),
     ("word", pa.string()), ("n", pa.int64()), ("counts", pa.list_(pa.int64())),
 ])
@@ -197,7 +199,7 @@ def _features(transitions: np.ndarray, dictionary: set[str], neighbours: dict[tu
                     n, sum(c.isdigit() for c in v) / n, sum(c.isupper() for c in v) / n, sum(not c.isalnum() for c in v) / n,
                     float(bool(re.fullmatch("[0-9a-fA-F]+", v))), float(-(counts * np.log2(counts)).sum()),
                     float(logs[classes[:-1], classes[1:]].mean()), sum(len(w) for w in _WORD.findall(v.lower()) if w in dictionary) / n,
-                    float(r["in_path"]), float(r["assigned"]),
+                    float(r["in_path"]),
                     *(neighbours.get((c, r[c]), 0.0) for c in ("before_1", "before_2", "after_1")),
                 ))
             columns = zip(*rows, strict=True) if rows else [[]] * len(FEATURES)
@@ -210,11 +212,11 @@ def _features(transitions: np.ndarray, dictionary: set[str], neighbours: dict[tu
 def scan(docs: DataFrame, labelled: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(doc_id, tie, start, end, value, p_secret, is_secret)`` of every candidate."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.hash(text).alias("tie"), text.alias("text"))
+    rows = docs.select("doc_id", text_tie().alias("tie"), text.alias("text"))
     scanned = written(rows.mapInArrow(_scan, SCAN), "scan")
     found = scanned.where("kind = 'candidate'")
-    words = scanned.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"))
-    dictionary = {r.word for r in words.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()}  # DICTIONARY rows
+    words = written(scanned.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    dictionary = {r.word for r in commonest(words, DICTIONARY).select("word").collect()}  # DICTIONARY rows
     cells = scanned.where("kind = 'transitions'").select(F.posexplode("counts").alias("cell", "n"))
     transitions = np.zeros(CLASSES * CLASSES)
     for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CLASSES squared rows
@@ -228,18 +230,18 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample_rows: int =
     else:
         marks = labelled.select("doc_id", "start", F.col("secret").cast("int").alias("label")).dropDuplicates(["doc_id", "start"])
         found = found.join(marks, ["doc_id", "start"], "left")
-    found = written(found, "findings")
+    found, made = written(found, "findings"), scanned
+    drop_tables(made, words)
     totals = {r.label: r.n for r in found.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    part = lambda label: found.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", "start", "value"), "doc_id", "start")
-    sample = part(0).limit(sample_rows // 2).union(part(1).limit(sample_rows // 2))
-    sample = written(sample, "labelled")  # the documented bound
+    parts = [sampled(found.where(F.col("label") == k), n, sample_rows // 2, ["doc_id", "start", "value"]) for k, n in totals.items()]
+    sample = written(reduce(DataFrame.union, parts, found.limit(0)), "labelled")  # the documented bound
     share = sample.agg(F.avg("label")).first()[0]
     enough = len(totals) == 2
     neighbours = _neighbours(sample, share) if enough else {}
     numbers = ", ".join(f"f_{c} double" for c in FEATURES)
-    kept = "doc_id long, tie int, start int, end int, value string, label int"
+    kept = "doc_id long, tie binary, start int, end int, value string, label int"
     describe = _features(transitions, dictionary, neighbours)
-    columns = [*KEPT, "in_path", "assigned", "before_1", "before_2", "after_1"]
+    columns = [*KEPT, "in_path", "before_1", "before_2", "after_1"]
     as_rows = lambda df: df.select(columns).mapInArrow(describe, f"{kept}, {numbers}")
     result = ["doc_id", "tie", "start", "end", "value"]
     if not enough:
@@ -255,6 +257,24 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample_rows: int =
     return judged.select(*result, p.alias("p_secret"), (p > 0.5).alias("is_secret"))
 
 
+def commonest(words: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the commonest rows of the written table ``words(word, n)``, without a sort.
+
+    The cut is read off a histogram of the counts (7 significant bits, so a few thousand rows at most); of the counts
+    at the cut a share by hash makes up the number.
+    """
+    shift = "greatest(length(bin(n)) - 7, 0)"
+    rounded = words.withColumn("about", F.expr(f"shiftleft(shiftright(n, {shift}), {shift})"))
+    left, cut, share = most, 0, 0.0
+    for r in sorted(rounded.groupBy("about").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.about):
+        if r.words > left:
+            cut, share = r.about, left / r.words
+            break
+        left -= r.words
+    at_cut = (F.col("about") == cut) & (F.pmod(F.xxhash64("word"), F.lit(SHARES)) < int(share * SHARES))
+    return rounded.where((F.col("about") > cut) | at_cut)
+
+
 def _neighbours(sample: DataFrame, share: float) -> dict[tuple[str, str], float]:
     """How much a word beside a finding speaks for a secret, in log-odds; the commonest NEIGHBOURS words."""
     beside = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("word")) for c in ("before_1", "before_2", "after_1")])
@@ -268,8 +288,8 @@ def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """``docs`` with the secrets of ``findings`` replaced by ``MASK``; ``n_chars`` follows where there is one."""
     spans = findings.where("is_secret").groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = written(spans, "secret-spans").select(F.struct("doc_id", "tie").alias("of"), "spans")
-    keyed = docs.withColumn("keyed", F.struct("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tie")))
-    joined = keyed.join(spans, F.col("keyed").eqNullSafe(F.col("of")), "left")
+    keyed = docs.withColumn("keyed", F.struct("doc_id", text_tie().alias("tie")))
+    joined = keyed.join(spans, F.col("keyed") == F.col("of"), "left")
 
     @F.pandas_udf("string")
     def masked(text: pd.Series, spans: pd.Series) -> pd.Series:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.llm.common import whole_text, written
+from webcatalog.llm.common import drop_tables, text_tie, whole_text, written
 from webcatalog.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -68,9 +68,10 @@ def _tie():
     return F.xxhash64(whole_text())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tie, bits)`` of every row: ``tie`` the text's hash, ``bits`` the fingerprint as a signed long."""
-    return docs.select("doc_id", _tie().alias("tie"), "text").mapInArrow(_fingerprints, "doc_id long, tie long, bits long")
+def fingerprints(docs: DataFrame, wide: bool = False) -> DataFrame:
+    """``(doc_id, tie, bits)`` of every row: ``tie`` the text's hash (SHA-256 if ``wide``), ``bits`` the fingerprint as a signed long."""
+    tie, kind = (text_tie(), "binary") if wide else (_tie(), "long")
+    return docs.select("doc_id", tie.alias("tie"), "text").mapInArrow(_fingerprints, f"doc_id long, tie {kind}, bits long")
 
 
 def _half(bits: str, side: int) -> str:
@@ -122,29 +123,33 @@ def _narrow(own: DataFrame, big: DataFrame, ball) -> DataFrame:
     return meet.where((F.col("a") != F.col("b")) & _close("a", "b")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, group_limit: int = 512) -> DataFrame:
-    """``(doc_id, tie, bits, component_id, kept)`` for every row of ``docs``."""
-    marks = written(fingerprints(docs), "fingerprints")
+def _grouped(marks: DataFrame, group_limit: int) -> DataFrame:
+    """``marks`` with ``component``, a fingerprint, and ``component_id``."""
     classes = marks.groupBy("bits").agg(F.min("doc_id").alias("first_id"))
     found = components(ball_links(classes.select("bits"), group_limit))
     named = classes.join(found.withColumnRenamed("node", "bits"), "bits", "left")
     named = named.withColumn("component", F.coalesce("component", "bits"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "component").select("bits", "component_id")
-    return marks.join(named, "bits").select(
-        "doc_id", "tie", "bits", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
-    )
+    named = named.join(names, "component").select("bits", "component", "component_id")
+    return marks.join(named, "bits")
+
+
+def near_duplicates(docs: DataFrame, group_limit: int = 512) -> DataFrame:
+    """``(doc_id, tie, bits, component_id, kept)`` for every row of ``docs``."""
+    grouped = _grouped(written(fingerprints(docs), "fingerprints"), group_limit)
+    return grouped.select("doc_id", "tie", "bits", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def keep_first_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each component: the one of its smallest doc_id.
+def keep_first_of_each(docs: DataFrame, group_limit: int = 512) -> DataFrame:
+    """``docs`` with one row for each component: the one of its smallest doc_id, null last.
 
-    Of rows with that doc_id the one with the smallest hash of the text stays, once. Rows
-    without a doc_id can't be named as anyone's copy and all stay.
+    Of rows with that doc_id the one with the smallest digest of the text stays, once. Texts are exchanged once: a
+    struct is never null and the nulls inside compare equal, so its two steps share an exchange.
     """
-    marks = near_duplicates(docs).where("doc_id IS NOT NULL")
-    first = marks.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("r"))
-    first = written(first.where("r.doc_id = component_id").select("r.*"), "first-of-each")
-    keyed = docs.where("doc_id IS NOT NULL").withColumn("tie", _tie())
-    kept = keyed.join(first, ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id", "tie"])
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    marks = written(fingerprints(docs, wide=True), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    first = _grouped(marks, group_limit).groupBy("component").agg(F.min(rank).alias("r"))
+    first = written(first.select(F.struct("r.doc_id", "r.tie").alias("first")), "first-of-each")
+    drop_tables(marks)
+    once = docs.withColumn("of", F.struct("doc_id", text_tie().alias("tie"))).join(first, F.col("of") == F.col("first"), "left_semi")
+    return once.dropDuplicates(["of"]).select(docs.columns)

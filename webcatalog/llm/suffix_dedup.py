@@ -24,7 +24,8 @@ dictionary phrases are not gathered but divided by string (``_crowded``).
 Defined results: null text is empty; order is (doc_id, hash of the text, start) with null
 first, which breaks ties of repeated doc_ids; a row equal to an earlier one in both is
 removed whole if it has 100 bytes; further columns are ignored; an empty table gives an empty
-table. The doc_id -2**63 stands for null inside.
+table. Inside, the 2**40 smallest doc_ids stand for rows without one, told apart by a second hash of the text,
+so that unlike texts don't fall together however many rows lack an id.
 """
 
 from __future__ import annotations
@@ -46,14 +47,14 @@ GRAM = 32
 CHUNK_BYTES, BLOCK_PHRASES = 4 << 20, 1_000_000
 #: Dictionary phrases of a trigger whose strings (69 each at most) one task holds in a hash table of about 100 MB.
 CROWD_LIMIT = 3_000
-NO_ID = -(1 << 63)
+NO_ID, NO_IDS = -(1 << 63), 1 << 40
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-PHRASES = "fp long, h long, doc_id long, tie int, start int, n_a long"
-_PHRASES = pa.schema([("fp", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("n_a", pa.int64())])
-CONTENT = "fp long, doc_id long, tie int, start int, a int, content binary"
-SPANS = "doc_id long, tie int, start int, n int"
-_SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+PHRASES = "fp long, h long, doc_id long, tie long, start int, n_a long"
+_PHRASES = pa.schema([("fp", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n_a", pa.int64())])
+CONTENT = "fp long, doc_id long, tie long, start int, a int, content binary"
+SPANS = "doc_id long, tie long, start int, n int"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -128,7 +129,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, contents), np.uint64, len(start))
             ends = np.cumsum(lengths)
             doc = np.searchsorted(ends, start, "right")
-            block.append((fp, h, np.array(ids, np.int64)[doc], np.array(ties, np.int32)[doc], start - (ends - lengths)[doc], n, a))
+            block.append((fp, h, np.array(ids, np.int64)[doc], np.array(ties, np.int64)[doc], start - (ends - lengths)[doc], n, a))
             held += len(start)
             if held >= BLOCK_PHRASES:
                 yield from _reduced(block)
@@ -216,8 +217,9 @@ def _crowded(content: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), whole_text().alias("text"))
-    return rows.select("doc_id", F.hash("text").alias("tie"), "text")
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    no_id = F.lit(NO_ID) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(NO_IDS))
+    return rows.select(F.coalesce("doc_id", no_id).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
 
 
 def repeated_spans(docs: DataFrame, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
@@ -289,4 +291,4 @@ def remove_repeats(docs: DataFrame, crowd_limit: int = CROWD_LIMIT) -> DataFrame
         " runs array<struct<start: long, end: long>>"
     )
     found = rows.select("doc_id", "text", "copy", "spans").mapInArrow(_remove, schema)
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return found.withColumn("doc_id", F.when(F.col("doc_id") >= F.lit(NO_ID + NO_IDS), F.col("doc_id")))

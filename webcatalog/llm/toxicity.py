@@ -9,11 +9,12 @@ Texts are sets of features: lower-case words and their first four to six letters
 inflected forms. The features that separate the labels best (chi-square of each category,
 counted over the sample in Spark) are kept, ``FEATURES`` at most.
 
-Bounds, both parameters: the models are fitted on the driver from ``sample_rows`` labelled rows
+Bounds, both parameters: the models are fitted on the driver from ``sample_rows`` labelled documents
 (the smallest hashes of doc_id) and ``features`` features. Everything else covers all rows,
 whole texts, without a shuffle.
 
-Defined results: null text has no features; rows with a null label do not teach that
+Defined results: a doc_id of several label rows has the largest label of each category, and of several
+texts the one with the smallest SHA-256 teaches; null text has no features; rows with a null label do not teach that
 category; a category with one label value only gets that value's share as its probability, and
 0 without labels; repeated rows are scored alike; columns named like the results are replaced;
 an empty table gives an empty table.
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.llm.common import written
+from webcatalog.llm.common import drop_tables, sampled, written
 
 SAMPLE_ROWS, FEATURES, FOLDS = 20_000, 768, 4
 STEMS = (4, 5, 6)
@@ -157,9 +158,12 @@ def train(
     """Fit the chain. ``categories`` maps names, in chain order, to SQL over the columns of ``labels``."""
     names = list(categories)
     marks = labels.select("doc_id", *[F.expr(f"CAST({sql} AS DOUBLE)").alias(c) for c, sql in categories.items()])
-    marks = marks.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # the documented bound
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    marks = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names])
+    marks = written(marks, "marks")
+    sample = written(sampled(marks, marks.count(), sample_rows, ["doc_id"]), "sample")  # the documented bound
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("first"))
+    texts = written(texts.select("doc_id", "first.text").join(F.broadcast(sample), "doc_id"), "texts")
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,8 +195,9 @@ def train(
             batch["numbers"] = [reader.numbers_of(t) for t in batch.pop("text")]
             yield batch
 
-    rows = texts.mapInPandas(encode, f"doc_id long, {schema}, numbers array<long>").toPandas()  # sample_rows at most
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = texts.mapInPandas(encode, f"doc_id long, {schema}, numbers array<long>").toPandas()  # one for each of the sample
+    rows = rows.sort_values("doc_id")
+    drop_tables(marks, sample, texts, counts)
     folds = (rows["doc_id"].to_numpy(np.int64) * 2654435761 >> 16) % FOLDS
     return fit_chain(numbers, names, [list(s) for s in rows["numbers"]], rows[names].to_numpy(float), folds)
 
