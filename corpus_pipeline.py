@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webcatalog.llm import mixing, near_copies, packing, queries, secret_scan, toxicity
+from webcatalog.llm import mixing, packing, queries, secret_scan, simhash, toxicity
 from webcatalog.llm.common import ready, written
 
 
@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five-word shingles, Jaccard 0.8)."""
+    """The document with the smallest id of each group whose SimHashes (three-word shingles) link at three bits."""
     ready(spark)
-    return near_copies.keep_first_of_each(docs)
+    return simhash.keep_first_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
