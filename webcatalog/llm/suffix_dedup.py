@@ -174,7 +174,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in asked:
                 content = raw[x["start"] : x["start"] + x["n"] + LENGTH - 1]
                 rows.append((x["fp"], doc_id, tie, x["start"], x["a"], content))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         columns = zip(*rows, strict=True) if rows else [[]] * 6
         names = ["fp", "doc_id", "tie", "start", "a", "content"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
