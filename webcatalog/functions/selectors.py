@@ -134,6 +134,31 @@ def inside(elem: Column, outer: Column) -> Column:
     return (elem["idx"] > outer["idx"]) & (elem["idx"] <= outer["tail"])
 
 
+def first_after(elems: Column, number: Column) -> Column:
+    """Position (from 0) of the first of ``elems`` whose number is above ``number``; their count if none is.
+
+    ``elems`` are in document order, so halving finds it in as many steps as the count has bits.
+    """
+    halve = lambda span, middle: F.when(
+        (span["lo"] < span["hi"]) & (F.get(elems, middle)["idx"] <= number),
+        F.struct((middle + 1).alias("lo"), span["hi"].alias("hi")),
+    ).otherwise(F.struct(span["lo"].alias("lo"), F.least(span["hi"], middle).alias("hi")))
+    step = lambda span, _: let(F.shiftright(span["lo"] + span["hi"], 1), lambda middle: halve(span, middle))
+    whole = F.struct(F.lit(0).alias("lo"), F.greatest(F.size(elems), F.lit(0)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(elems)))), whole, step, lambda span: span["lo"])
+
+
+def all_inside(elems: Column, outer: Column) -> Column:
+    """The elements inside ``outer``: a slice of ``elems``, which are in document order."""
+    bounds = F.struct(first_after(elems, outer["idx"]).alias("lo"), first_after(elems, outer["tail"]).alias("hi"))
+    return let(bounds, lambda b: F.slice(elems, b["lo"] + 1, b["hi"] - b["lo"]))
+
+
+def first_inside(elems: Column, outer: Column) -> Column:
+    """The first element inside ``outer``, null without one."""
+    return let(F.get(elems, first_after(elems, outer["idx"])), lambda e: F.when(e["idx"] <= outer["tail"], e))
+
+
 def select(elems: Column, selector: Column) -> Column:
     """Elements matching a compiled selector, in document order; empty without one."""
     found = F.flatten(F.transform(selector, lambda chain: _chain(elems, chain)))

@@ -16,13 +16,12 @@ from webcatalog.functions.basics import (
     blank_to_null,
     distinct_by,
     explode_rows,
-    first_where,
     last_wins_map,
     let,
     reusable,
     strip,
 )
-from webcatalog.functions.selectors import element_text, element_value, inside, select
+from webcatalog.functions.selectors import all_inside, element_text, element_value, first_inside, select
 from webcatalog.functions.values import first_truthy, member, text_of, variant, view
 
 
@@ -96,7 +95,7 @@ def regex_values(texts: Column, patterns: Column, groups: Column) -> Column:
 
 def _label_rows(rows: Column, labels: Column, texts: Column, require_colon: Column) -> Column:
     def entry(row: Column) -> Column:
-        label = element_text(texts, first_where(labels, lambda l: inside(l, row)))
+        label = element_text(texts, first_inside(labels, row))
         rest = F.substr(element_text(texts, row), F.length(label) + 1)
         return F.struct(
             strip(F.regexp_replace(label, ":+$", "")).alias("key"),
@@ -117,9 +116,9 @@ def _pair_rows(rows: Column, keys: Column, values: Column, texts: Column) -> Col
         rows,
         lambda row: F.struct(
             F.regexp_replace(
-                element_text(texts, first_where(keys, lambda k: inside(k, row))), ":+$", ""
+                element_text(texts, first_inside(keys, row)), ":+$", ""
             ).alias("key"),
-            element_text(texts, first_where(values, lambda v: inside(v, row))).alias("value"),
+            element_text(texts, first_inside(values, row)).alias("value"),
         ),
     )
     return F.filter(entries, lambda e: (e["key"] != "") & e["value"].isNotNull())
@@ -127,7 +126,7 @@ def _pair_rows(rows: Column, keys: Column, values: Column, texts: Column) -> Col
 
 def _sub_records(rows: Column, rule: Column, hits: Column, texts: Column) -> Column:
     def value(row: Column, sub: Column) -> Column:
-        found = first_where(F.try_element_at(hits, sub["value"]), lambda e: inside(e, row))
+        found = let(F.try_element_at(hits, sub["value"]), lambda es: first_inside(es, row))
         return F.when(sub["value"].startswith("@"), element_value(texts, row, sub["value"])).otherwise(
             F.when(found.isNotNull(), element_value(texts, found, rule["attr"]))
         )
@@ -155,10 +154,9 @@ def css_value(rule: Column, hits: Column, texts: Column, scope: Column) -> Colum
     hit = lambda name: F.try_element_at(hits, name)
 
     def of(rows: Column) -> Column:
-        labels = as_map(_label_rows(rows, hit(rule["label"]), texts, rule["require_colon"]))
-        pairs = as_map(
-            _pair_rows(rows, hit(F.get(rule["kv"], F.lit(0))), hit(F.get(rule["kv"], F.lit(1))), texts)
-        )
+        labels = as_map(let(hit(rule["label"]), lambda ls: _label_rows(rows, ls, texts, rule["require_colon"])))
+        of_pair = F.struct(hit(F.get(rule["kv"], F.lit(0))).alias("keys"), hit(F.get(rule["kv"], F.lit(1))).alias("values"))
+        pairs = as_map(let(of_pair, lambda p: _pair_rows(rows, p["keys"], p["values"], texts)))
         subs = let(
             _sub_records(rows, rule, hits, texts),
             lambda rs: F.when(F.size(rs) > 0, F.to_variant_object(rs)),
@@ -173,7 +171,7 @@ def css_value(rule: Column, hits: Column, texts: Column, scope: Column) -> Colum
             .otherwise(variant(element_value(texts, F.get(rows, F.lit(0)), rule["attr"])))
         )
 
-    return let(F.filter(hit(rule["selector"]), lambda e: inside(e, scope)), of)
+    return let(let(hit(rule["selector"]), lambda es: all_inside(es, scope)), of)
 
 
 @reusable
