@@ -141,13 +141,14 @@ def prompts(t: Tables) -> DataFrame:
     "jsonld_sample",
     f"""WITH {PAGED_SQL}
        SELECT DISTINCT page_id, 'Brand,BreadcrumbList,CollectionPage,ItemList,ListItem,Offer,Product' AS types,
-         '[{{"@type": "BreadcrumbList", "itemListElement": [{{"@type": "ListItem", "position": 1, "name": "Home"}}' AS sample
-       FROM places""",
+         '[{{"@type": "BreadcrumbList", "itemListElement": [{{"@type": "ListItem", "position": 1, "name": "Home"}}, '
+         || crumb || ']}}, {{"@type": "ListItem", "position": 1, "name": "Home"}}, ' || crumb || ']' AS sample
+       FROM (SELECT *, '{{"@type": "ListItem", "position": 2, "name": "' || p_brand || '"}}' AS crumb FROM places)""",
 )
 def jsonld_sample(t: Tables) -> DataFrame:
     docs = P.with_documents(t.listings().select("page_id", "html"))
     return P.jsonld_sample(docs).select(
-        "page_id", F.array_join("jsonld_types", ",").alias("types"), F.substring("jsonld_sample", 1, 101).alias("sample")
+        "page_id", F.array_join("jsonld_types", ",").alias("types"), F.col("jsonld_sample").alias("sample")
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from query_suite.registry import LISTING_SIGNATURE, PAGED_SQL, PRODUCTS_SQL, Tables, query
@@ -11,6 +13,9 @@ from webcatalog.operators import pages as P
 from webcatalog.operators import profiles as PR
 from webcatalog.operators import report as R
 from webcatalog.operators import state as S
+from webcatalog.session import checkpoint_folder
+from webcatalog.sources.readers import read_catalog
+from webcatalog.sources.writers import write_table
 
 
 @query(
@@ -64,10 +69,21 @@ def catalog_question(t: Tables) -> DataFrame:
 
 @query(
     "catalog_scan",
-    f"WITH {PRODUCTS_SQL} SELECT source_category, name, dedup_key FROM products ORDER BY source_category NULLS FIRST, name",
+    f"""WITH {PRODUCTS_SQL} SELECT row_number() OVER (ORDER BY source_category NULLS FIRST, name) AS place, source_category, name, dedup_key
+       FROM products""",
 )
 def catalog_scan(t: Tables) -> DataFrame:
-    return t.products().orderBy("source_category", "name").select("source_category", "name", "dedup_key")
+    """The stored catalog in the reader's order, each row with its place: partitions follow each other."""
+    path = write_table(t.products(), f"{checkpoint_folder(t.spark)}/suite-catalog-{uuid.uuid4().hex}")
+    rows = read_catalog(t.spark, path).select("source_category", "name", "dedup_key", F.monotonically_increasing_id().alias("at"))
+    part, nth = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select("source_category", "name", "dedup_key", part.alias("part"), nth.alias("nth"))
+    rows = t.spark.read.schema(rows.schema).parquet(write_table(rows, f"{path}-placed"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("rows"))
+    earlier = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("part", earlier.alias("before"))  # a row for each partition
+    placed = rows.join(before, "part").withColumn("place", F.col("before") + F.col("nth") + 1)
+    return placed.select("place", "source_category", "name", "dedup_key")
 
 
 @query(

@@ -183,6 +183,38 @@ def stream_frontier(t: Tables) -> DataFrame:
     return t.spark.read.schema("url string").parquet(f"{folder}/out")
 
 
+@query(
+    "stream_metrics",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, CAST(count(*) AS BIGINT) AS pages,
+         CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failures, round(avg(value), 4) AS coverage
+       FROM events GROUP BY 1""",
+)
+def stream_metrics(t: Tables) -> DataFrame:
+    """The log as a stream of three files in time order; a fourth repeats its first third, all of it too late to count."""
+    folder = _folder(t, "metrics")
+    log = t.log().select("at", "status", F.col("value").alias("coverage"))
+    first, last = log.agg(F.min("at").cast("double"), F.max("at").cast("double")).first()
+    third = F.least(F.floor((F.col("at").cast("double") - first) / ((last - first) / 3)), F.lit(2))
+    for k in (0, 1, 2, 0):  # one after the other: a file stream follows their times
+        log.where(third == k).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    I.write_metrics(I.stream_metrics(stream), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return I.read_metrics(t.spark, f"{folder}/table").select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "pages", "failures",
+        F.round("coverage", 4).alias("coverage"),
+    )
+
+
+@query("scan_html_files", "SELECT page_id, html FROM pages")
+def scan_html_files(t: Tables) -> DataFrame:
+    """Each page as a file of its own in a folder named by its id."""
+    folder = _folder(t, "html-files")
+    pages = t.read("pages").select(F.col("page_id").alias("page"), F.col("html").alias("value"))
+    pages.write.option("maxRecordsPerFile", 1).partitionBy("page").text(folder)
+    files = readers.read_html_files(t.spark, folder)
+    return files.select(F.regexp_extract("url", "/page=([0-9]+)/", 1).cast("long").alias("page_id"), F.regexp_replace("html", "\\n$", "").alias("html"))
+
+
 @query(
     "build_catalog_repaired",
     f"""SELECT 'P' || p_partkey AS dedup_key, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || p_partkey END AS name,

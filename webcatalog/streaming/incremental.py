@@ -104,6 +104,27 @@ def stream_metrics(log: DataFrame, width: str = "1 hour", delay: str = "10 minut
     return metrics_by_window(log.withWatermark("at", delay), width)
 
 
+def write_metrics(metrics: DataFrame, table: str, checkpoint: str):
+    """Append the windows that each micro-batch of ``stream_metrics`` changes to ``table``, replay-safe by batch.
+
+    A batch that runs again replaces its own folder; ``read_metrics`` takes a window's newest values.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    stream = metrics.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.trigger(availableNow=True).start()
+
+
+def read_metrics(spark: SparkSession, table: str) -> DataFrame:
+    """One row per window: (window_start, pages, failures, coverage)."""
+    values = ["pages", "failures", "coverage"]
+    rows = spark.read.schema("window_start timestamp, pages long, failures long, coverage double, batch_id long").parquet(table)
+    newest = rows.groupBy("window_start").agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    return newest.select("window_start", "v.*")
+
+
 _ALERT_DDL = (
     "dedup_key string, scraped_at timestamp, price double, availability string,"
     " prev_price double, prev_availability string, event string"
