@@ -95,7 +95,8 @@ def ball_links(classes: DataFrame, group_limit: int = 512) -> DataFrame:
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
     ball_of = own.select(F.col("bits").alias("b"), "key", F.explode(ball).alias("flip"))
     ball_of = ball_of.select("b", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    meet = own.select(F.col("bits").alias("a"), "key").join(ball_of.join(big, "key", "left_anti"), "key")
+    # Spark can't tell how many rows a ball has: without the hint it may broadcast them all.
+    meet = own.select(F.col("bits").alias("a"), "key").join(ball_of.join(big, "key", "left_anti").hint("merge"), "key")
     direct = meet.where((F.col("a") != F.col("b")) & _close("a", "b")).select("a", "b")
     found = direct.union(_narrow(own, big, ball))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -119,7 +120,7 @@ def _narrow(own: DataFrame, big: DataFrame, ball) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(16)])
     right = parts(own.join(around, "key")).withColumn("flip", F.explode(flips))
     right = right.select("hub", "q", F.col("part").bitwiseXOR(F.col("flip")).alias("part"), F.col("bits").alias("b"))
-    meet = left.withColumnRenamed("bits", "a").join(right, ["hub", "q", "part"])
+    meet = left.withColumnRenamed("bits", "a").join(right.hint("merge"), ["hub", "q", "part"])
     return meet.where((F.col("a") != F.col("b")) & _close("a", "b")).select("a", "b")
 
 
