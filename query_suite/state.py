@@ -121,7 +121,7 @@ OBSERVED_SQL = """observed AS (
     CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'n' || l_suppkey END AS brand FROM lineitem)"""
 
 
-def _observed(t: Tables) -> DataFrame:
+def observed(t: Tables) -> DataFrame:
     return t.read("lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dedup_key"),
         F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", "l_suppkey",
@@ -142,25 +142,25 @@ def upsert_products(t: Tables) -> DataFrame:
     # Older observations make the stored table, the later ones come as a batch.
     order = F.struct("at", "l_orderkey", "l_linenumber", "price")
     columns = ["dedup_key", "price", "availability", "brand"]
-    rows = _observed(t).select(*columns, order.alias("seq"), "at")
+    rows = observed(t).select(*columns, order.alias("seq"), "at")
     later = F.col("at") >= F.lit("1999-01-01").cast("timestamp_ntz")
     stored = S.upsert_products(None, rows.where(~later).select(*columns, "seq"), "seq").select(*columns)
     return S.upsert_products(stored, rows.where(later).select(*columns, "seq"), "seq").select(*columns)
 
 
-@query(
-    "price_changes",
-    f"""WITH {OBSERVED_SQL}, lagged AS (
-         SELECT *, lag(price) OVER w AS prev_price, lag(availability) OVER w AS prev_availability,
-           row_number() OVER w = 1 AS is_first FROM observed
-         WINDOW w AS (PARTITION BY dedup_key ORDER BY seen_at, l_orderkey, l_linenumber, price)),
-       events AS (SELECT *, CASE WHEN is_first THEN 'new'
-           WHEN availability = 'out_of_stock' AND prev_availability <> 'out_of_stock' THEN 'out_of_stock'
-           WHEN price < prev_price THEN 'price_drop' WHEN price > prev_price THEN 'price_rise' END AS event FROM lagged)
-       SELECT dedup_key, l_orderkey, l_linenumber, price, prev_price, event FROM events WHERE event IS NOT NULL""",
-)
+PRICE_CHANGES_SQL = f"""WITH {OBSERVED_SQL}, lagged AS (
+  SELECT *, lag(price) OVER w AS prev_price, lag(availability) OVER w AS prev_availability,
+    row_number() OVER w = 1 AS is_first FROM observed
+  WINDOW w AS (PARTITION BY dedup_key ORDER BY seen_at, l_orderkey, l_linenumber, price)),
+events AS (SELECT *, CASE WHEN is_first THEN 'new'
+    WHEN availability = 'out_of_stock' AND prev_availability <> 'out_of_stock' THEN 'out_of_stock'
+    WHEN price < prev_price THEN 'price_drop' WHEN price > prev_price THEN 'price_rise' END AS event FROM lagged)
+SELECT dedup_key, l_orderkey, l_linenumber, price, prev_price, event FROM events WHERE event IS NOT NULL"""
+
+
+@query("price_changes", PRICE_CHANGES_SQL)
 def price_changes(t: Tables) -> DataFrame:
     bucket = F.date_trunc("year", F.col("at"))
     order = ("at", "l_orderkey", "l_linenumber", "price")
-    alerts = C.change_alerts(_observed(t), order=order, bucket=bucket)
+    alerts = C.change_alerts(observed(t), order=order, bucket=bucket)
     return alerts.select("dedup_key", "l_orderkey", "l_linenumber", "price", "prev_price", "event")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from query_suite.registry import PRODUCTS_SQL, STATE_SQL, Tables, query
-from query_suite.state import LOG_SQL
+from query_suite.state import LOG_SQL, PRICE_CHANGES_SQL, observed
 from webcatalog import fixtures
 from webcatalog.operators import state as S
 from webcatalog.options import Options
@@ -16,6 +16,7 @@ from webcatalog.plans import catalog as J
 from webcatalog.schemas import PROFILE_DDL, RECIPE_DDL
 from webcatalog.session import checkpoint_folder
 from webcatalog.sources import readers, writers
+from webcatalog.streaming import alerts as L
 from webcatalog.streaming import incremental as I
 
 
@@ -205,6 +206,25 @@ def stream_metrics(t: Tables) -> DataFrame:
     )
 
 
+@query("stream_alerts", PRICE_CHANGES_SQL)
+def stream_alerts(t: Tables) -> DataFrame:
+    """Observations in two deliveries to one stream, each in any order; some older ones come late, with the second."""
+    folder, order = _folder(t, "alerts"), ("scraped_at", "l_orderkey", "l_linenumber")
+    seen = observed(t).select(
+        "dedup_key", F.col("at").cast("timestamp").alias("scraped_at"), "l_orderkey", "l_linenumber", "price", "availability"
+    )
+    first = F.expr("scraped_at < '1996-01-01' and pmod(xxhash64(l_orderkey), 50) > 0")
+    close = t.spark.range(1).select(F.lit("9999-01-01").cast("timestamp").alias("scraped_at"))
+    deliveries = seen.where(first), seen.where(~first).unionByName(close, allowMissingColumns=True)
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{folder}/seen")
+        stream = t.spark.readStream.schema(seen.schema).parquet(f"{folder}/seen")
+        alerts = L.stream_alerts(stream, "30 days", 90 * 86_400_000, order=order)
+        L.write_alerts(alerts, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    found = L.read_alerts(t.spark, f"{folder}/table", alerts.schema, order=order, bucket="year")
+    return found.select("dedup_key", "l_orderkey", "l_linenumber", "price", "prev_price", "event")
+
+
 @query("scan_html_files", "SELECT page_id, html FROM pages")
 def scan_html_files(t: Tables) -> DataFrame:
     """Each page as a file of its own in a folder named by its id."""

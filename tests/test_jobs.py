@@ -247,7 +247,7 @@ def _drain(df, name):
     return df.sparkSession.table(name)
 
 
-def test_stream_frontier_metrics_and_alerts(spark, tmp_path):
+def test_stream_frontier_and_metrics(spark, tmp_path):
     log = fixtures.crawl_log(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).withColumn("coverage", F.col("value"))
     path = str(tmp_path / "log")
     log.repartition(3).write.parquet(path)
@@ -261,24 +261,6 @@ def test_stream_frontier_metrics_and_alerts(spark, tmp_path):
     batch = {r.window_start: r.pages for r in metrics_by_window(log).collect()}
     windows = {r.window_start: r.pages for r in _drain(I.stream_metrics(stream(), delay="60 days"), "f3").collect()}
     assert all(batch[k] == n for k, n in windows.items())
-    seen = stream().select(F.col("url").alias("dedup_key"), F.col("at").alias("scraped_at"), F.col("value").alias("price"),
-                           F.lit("in_stock").alias("availability"))
-    alerts = _drain(I.stream_alerts(seen), "f4")
-    assert alerts.where("event = 'new'").count() == len(urls) and alerts.where("event = 'price_drop' and price >= prev_price").count() == 0
-
-
-def test_alerts_drop_late_rows(spark, tmp_path):
-    rows = [("a", "2024-01-02", 5.0), ("a", "2024-01-03", 4.0)], [("a", "2024-01-01", 9.0), ("a", "2024-01-04", 4.5), ("a", None, 1.0)]
-    frames = [spark.createDataFrame(r, "dedup_key string, t string, price double").select(
-        "dedup_key", F.to_timestamp("t").alias("scraped_at"), "price", F.lit("in_stock").alias("availability")) for r in rows]
-    path = str(tmp_path / "seen")
-    for k, frame in enumerate(frames):
-        frame.coalesce(1).write.mode("append").parquet(path)
-    files = sorted((p for p in (tmp_path / "seen").glob("part-*")), key=lambda p: p.stat().st_mtime_ns)
-    assert len(files) == 2
-    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = [(r.price, r.event) for r in _drain(I.stream_alerts(stream), "late").orderBy("scraped_at").collect()]
-    assert got == [(5.0, "new"), (4.0, "price_drop"), (4.5, "price_rise")]
 
 
 def test_broadcast_is_asked_for_only_below_the_limit(spark):

@@ -1,11 +1,9 @@
-"""Incremental catalog, frontier, metrics and alerts over streams of fetched pages."""
+"""Incremental catalog, frontier and metrics over streams of fetched pages."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,50 +121,3 @@ def read_metrics(spark: SparkSession, table: str) -> DataFrame:
     rows = spark.read.schema("window_start timestamp, pages long, failures long, coverage double, batch_id long").parquet(table)
     newest = rows.groupBy("window_start").agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
     return newest.select("window_start", "v.*")
-
-
-_ALERT_DDL = (
-    "dedup_key string, scraped_at timestamp, price double, availability string,"
-    " prev_price double, prev_availability string, event string"
-)
-_STATE_DDL = "price double, availability string, at timestamp"
-
-
-def _event(price, availability, before) -> str | None:
-    if before is None:
-        return "new"
-    if availability == "out_of_stock" and before[1] is not None and before[1] != "out_of_stock":
-        return "out_of_stock"
-    if price is None or before[0] is None or price == before[0]:
-        return None
-    return "price_drop" if price < before[0] else "price_rise"
-
-
-def _alerts(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["scraped_at", "price", "availability"], kind="stable")
-    out = []
-    for at, price, availability in zip(rows.scraped_at, rows.price, rows.availability):
-        if before is not None and at < before[2]:
-            continue  # late: a newer observation has been compared already
-        price = None if pd.isna(price) else float(price)
-        event = _event(price, availability, before)
-        if event:
-            out.append((key[0], at, price, availability, *(before[:2] if before else (None, None)), event))
-        before = (price, availability, at)
-    if before is not None:
-        state.update(before)
-    columns = ["dedup_key", "scraped_at", "price", "availability", "prev_price", "prev_availability", "event"]
-    yield pd.DataFrame(out, columns=columns)
-
-
-def stream_alerts(observations: DataFrame) -> DataFrame:
-    """Change alerts over a stream of observations; state is the newest observation per key.
-
-    Observations older than it are dropped; a micro-batch's rows of a key are sorted in memory.
-    Timeless observations are dropped too.
-    """
-    observations = observations.where("scraped_at IS NOT NULL")
-    return observations.groupBy("dedup_key").applyInPandasWithState(
-        _alerts, _ALERT_DDL, _STATE_DDL, "append", "NoTimeout"
-    )
