@@ -58,7 +58,7 @@ class _Alerts(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:
             return
-        before = self.last.get() if self.last.exists() else None
+        before = self.last.get()
         fresh: dict[int, list] = {}
         for row in rows:
             values = tuple(row[name] for name in self.seen.names)
@@ -70,14 +70,14 @@ class _Alerts(StatefulProcessor):
             else:
                 fresh.setdefault(ends, []).append(values)
         for ends, values in fresh.items():
-            known = self.open.getValue((ends,)) if self.open.containsKey((ends,)) else None
+            known = self.open.getValue((ends,))
             if known is None:
                 self.handle.registerTimer(ends)
             self.open.updateValue((ends,), ([tuple(v) for v in known[0]] + values if known else values,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         ends = expiredTimerInfo.getExpiryTimeInMs()
-        before = tuple(self.last.get()) if self.last.exists() else None
+        before = self.last.get()
         rows = [tuple(v) for v in self.open.getValue((ends,))[0]]
         self.open.removeKey((ends,))
         for values in sorted(rows, key=lambda v: [_rank(x) for x in v]):
