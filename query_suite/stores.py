@@ -15,7 +15,7 @@ from webcatalog.options import Options
 from webcatalog.plans import catalog as J
 from webcatalog.schemas import PROFILE_DDL, RECIPE_DDL
 from webcatalog.session import checkpoint_folder
-from webcatalog.sources import readers, writers
+from webcatalog.sources import readers, recipes, writers
 from webcatalog.streaming import alerts as L
 from webcatalog.streaming import incremental as I
 
@@ -136,6 +136,24 @@ def save_recipes(t: Tables) -> DataFrame:
     return saved.select("domain", "backend", F.col("params")["root"].alias("root"))
 
 
+@query(
+    "scan_recipes",
+    """SELECT 's' || s_suppkey || '.example.org' AS domain, CASE WHEN s_suppkey % 2 = 0 THEN 'api' ELSE 'html' END AS backend,
+         s_name AS root, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation
+       FROM supplier WHERE s_suppkey % 7 <> 0""",
+)
+def scan_recipes(t: Tables) -> DataFrame:
+    n = F.col("s_suppkey")
+    nation = F.when(n % 3 != 0, F.col("s_nationkey").cast("string"))
+    rows = t.read("supplier").where(n % 7 != 0).select(
+        F.concat(F.lit("s"), n.cast("string"), F.lit(".example.org")).alias("domain"),
+        F.when(n % 2 == 0, "api").otherwise("html").alias("backend"),
+        F.create_map(F.lit("root"), F.col("s_name"), F.lit("nation"), nation).alias("params"),
+    )
+    found = readers.read_source_recipes(t.spark, recipes.write_source_recipes(rows, _folder(t, "recipe-files")))
+    return found.select("domain", "backend", F.col("params")["root"].alias("root"), F.col("params")["nation"].alias("nation"))
+
+
 @query(
     "seed_frontier",
     f"""WITH {LOG_SQL} SELECT url, 'category' AS kind, 'pending' AS status, arg_min(source_category, seq) AS source_category,

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcatalog.schemas import RECIPE_DDL, RULE_DDL
-from webcatalog.sources.local import BROADCAST_LIMIT, local_table
+from webcatalog.schemas import RULE_DDL
+from webcatalog.sources.recipes import read_source_recipes  # noqa: F401
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -78,34 +76,6 @@ def read_profiles(spark: SparkSession, root: str, names: str = "*.json") -> Data
     return filled.select(*columns)
 
 
-def read_source_recipes(spark: SparkSession, root: str) -> DataFrame:
-    """Source recipes ``<domain>/_source.json``; the folder names the domain.
-
-    The nested block named after the backend (or ``params``) becomes ``params``. Spark's file
-    sources do not see names that start with ``_``, so these few small configuration files are
-    opened through the file system API; more than BROADCAST_LIMIT bytes of them is an error.
-    """
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_source.json")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = list(fs.globStatus(pattern) or [])
-    if sum(status.getLen() for status in found) > BROADCAST_LIMIT:
-        raise ValueError("too many recipe files: keep recipes in a table")
-    rows = []
-    for status in found:
-        stream = fs.open(status.getPath())
-        try:
-            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        recipe = json.loads(text)
-        backend = recipe.get("backend")
-        params = recipe.get(backend) or recipe.get("params") or {}
-        domain = status.getPath().getParent().getName()
-        rows.append((domain, backend, {k: str(v) for k, v in params.items()}))
-    return local_table(spark, rows, RECIPE_DDL)
-
-
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The product table in (source_category, name) order."""
     return spark.read.parquet(path).orderBy("source_category", "name")
