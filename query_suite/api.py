@@ -138,8 +138,10 @@ def record_arrays(t: Tables) -> DataFrame:
     return found.select("page_url", "capture_no", "path", "n_records", "total", "category_scoped")
 
 
-_BEST_SQL = """best AS (SELECT page_url, arg_max(struct_pack(capture_no := api_page * 4, total := n),
-    n * 1000000 - api_page) AS b FROM pages_of WHERE api_page % 2 = 0 GROUP BY page_url)"""
+# Captures of one endpoint that name the same total count once, as first seen.
+_BEST_SQL = """once AS (SELECT page_url, n, min(api_page) AS api_page FROM pages_of GROUP BY ALL),
+  best AS (SELECT page_url, arg_max(struct_pack(capture_no := api_page * 4, total := n),
+    n * 1000000 - api_page) AS b FROM once WHERE api_page % 2 = 0 GROUP BY page_url)"""
 
 
 @query(
