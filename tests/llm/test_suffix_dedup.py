@@ -81,3 +81,27 @@ def test_repeated_rows_and_empty_table(spark):
     first = slow({1: long})[1]
     assert got == sorted([(-1, 100, 0), (1, 50, 0), (1, 50, 0), (2, 303, first[1]), (2, 303, 303), (2, 18, 0)])
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_phrases_of_a_trigger_stay_together(spark):
+    """Small broadcast limits and uncoalesced partitions, as on a cluster: the lookup sees whole triggers."""
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(170))
+    own = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(0, 80)))
+    texts = {k: own() + line[rng.randint(0, 40) : rng.randint(120, 170)] + own() for k in range(600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(12)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "3000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert as_dict(suffix_dedup.remove_repeats(docs, 20).collect()) == slow(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_smallest_ids_keep_their_id(spark):
+    texts = {-(1 << 63): "0123456789" * 12, 5 - (1 << 63): "0123456789" * 12 + "abc", 7: "q" * 99}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert as_dict(suffix_dedup.remove_repeats(docs).collect()) == slow(texts)

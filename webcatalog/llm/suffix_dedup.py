@@ -52,7 +52,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD
 
 PHRASES = "fp long, h long, doc_id long, tie long, start int, n_a long"
 _PHRASES = pa.schema([("fp", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n_a", pa.int64())])
-CONTENT = "fp long, doc_id long, tie long, start int, a int, content binary"
+CONTENT = "fp long, doc_id long, tie long, start int, a int, content binary, crowd long"
 SPANS = "doc_id long, tie long, start int, n int"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
@@ -166,17 +166,17 @@ def _phrase_rows(fp, h, doc, tie, start, n_a, chosen) -> pa.RecordBatch:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the phrases asked for: columns doc_id, tie, text, asked(fp, start, n, a)."""
+    """The bytes of the phrases asked for: columns doc_id, tie, text, asked(fp, start, n, a, crowd)."""
     for batch in batches:
         rows = []
         for doc_id, tie, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
             for x in asked:
                 content = raw[x["start"] : x["start"] + x["n"] + LENGTH - 1]
-                rows.append((x["fp"], doc_id, tie, x["start"], x["a"], content))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        names = ["fp", "doc_id", "tie", "start", "a", "content"]
+                rows.append((x["fp"], doc_id, tie, x["start"], x["a"], content, x["crowd"]))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        names = ["fp", "doc_id", "tie", "start", "a", "content", "crowd"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
@@ -219,13 +219,13 @@ def _crowded(content: DataFrame) -> DataFrame:
 def _keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("text"))
     no_id = F.lit(NO_ID) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(NO_IDS))
-    return rows.select(F.coalesce("doc_id", no_id).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return rows.select(F.coalesce("doc_id", no_id).alias("doc_id"), F.xxhash64("text").alias("tie"), "text", F.col("doc_id").alias("id"))
 
 
 def repeated_spans(docs: DataFrame, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
     """``(doc_id, tie, start, n)``: the strings of 100 bytes at ``start .. start + n - 1`` are repeats."""
     keyed = _keyed(docs)
-    rows = keyed.mapInArrow(_parse, PHRASES).repartition("fp").sortWithinPartitions("fp", "h", "doc_id", "tie", "start")
+    rows = keyed.drop("id").mapInArrow(_parse, PHRASES).repartition("fp").sortWithinPartitions("fp", "h", "doc_id", "tie", "start")
     place = F.struct("doc_id", "tie", "start")
     of_phrase = Window.partitionBy("fp", "h").orderBy("doc_id", "tie", "start")
     of_trigger = Window.partitionBy("fp")
@@ -240,13 +240,15 @@ def repeated_spans(docs: DataFrame, crowd_limit: int = CROWD_LIMIT) -> DataFrame
         ),
         "parse",
     )
-    asked = F.collect_list(F.struct("fp", "start", "n", "a")).alias("asked")  # of one text
+    asked = F.collect_list(F.struct("fp", "start", "n", "a", "crowd")).alias("asked")  # of one text
     wanted = parse.where("NOT repeat").groupBy("doc_id", "tie").agg(asked)
     cut = keyed.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "asked").mapInArrow(_cut, CONTENT)
     dictionary = written(cut, "dictionary")
-    crowds = parse.where((F.col("crowd") > crowd_limit) & ~F.col("repeat")).select("fp").distinct()
-    few = dictionary.join(crowds, "fp", "left_anti").repartition("fp").sortWithinPartitions("fp", "doc_id", "tie", "start")
-    found = few.mapInArrow(_suffixes, SPANS).union(_crowded(dictionary.join(crowds, "fp", "left_semi")))
+    # Straight from the table: above a join on ``fp`` Spark drops the repartition, and may then read the join's
+    # shuffle locally or split it, so that a trigger lies in several tasks.
+    few = dictionary.where(F.col("crowd") <= crowd_limit).drop("crowd").repartition("fp")
+    few = few.sortWithinPartitions("fp", "doc_id", "tie", "start")
+    found = few.mapInArrow(_suffixes, SPANS).union(_crowded(dictionary.where(F.col("crowd") > crowd_limit)))
     return parse.where("repeat").select("doc_id", "tie", "start", "n").union(found)
 
 
@@ -290,5 +292,4 @@ def remove_repeats(docs: DataFrame, crowd_limit: int = CROWD_LIMIT) -> DataFrame
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"
         " runs array<struct<start: long, end: long>>"
     )
-    found = rows.select("doc_id", "text", "copy", "spans").mapInArrow(_remove, schema)
-    return found.withColumn("doc_id", F.when(F.col("doc_id") >= F.lit(NO_ID + NO_IDS), F.col("doc_id")))
+    return rows.select("id", "text", "copy", "spans").mapInArrow(_remove, schema)
