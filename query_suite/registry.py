@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webcatalog import fixtures
 from webcatalog.operators.profiles import compile_profiles
-from webcatalog.session import ship_package
+from webcatalog.session import ship_package, small_batches
 from webcatalog.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +58,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Tables(ship_package(spark), folder))
+            return fn(Tables(small_batches(ship_package(spark)), folder))
 
         QUERIES[name] = run
         if sql:

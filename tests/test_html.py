@@ -160,3 +160,20 @@ def test_unclosed_marks_take_linear_time():
         assert time.process_time() - start < 5, part
     page = _Page("<p>one<!-- c --><b t='x>y'>two</b><!-- open <i>three</i>")
     assert page.texts == ["one", "two", "three"]
+
+
+def test_pages_are_parsed_in_parts_of_bounded_memory(monkeypatch):
+    """A batch is never held parsed as a whole, and its pages come out complete and in order."""
+    import pyarrow as pa
+
+    from webcatalog.functions import html as H
+
+    made = []
+    monkeypatch.setattr(F, "arrow_udf", lambda fn, ddl: lambda html: made.append(fn))
+    H.parse_html("html")
+    pages = [f"<p>page {i}</p>" + "<i>x</i>" * (i % 7) * 400 for i in range(3000)] + [None, "", "<b>y</b>" * 200_000]
+    parts = list(made[0](iter([pa.array(pages), pa.array([], pa.string())])))
+    assert max(len(p) for p in parts) < 1100
+    texts = [page["texts"] for part in parts for page in part.to_pylist()]
+    assert [len(t) for t in texts] == [1 + (i % 7) * 400 for i in range(3000)] + [0, 0, 200_000]
+    assert [t[0] for t in texts[:3000]] == [f"page {i}" for i in range(3000)]

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH_ROWS, _PAGES_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def build_session(app: str = "webcatalog", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,7 +21,7 @@ def build_session(app: str = "webcatalog", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+        _BATCH_ROWS: str(_PAGES_PER_BATCH),
         "spark.ui.enabled": "false",
         # Methods beyond what the JIT compiles run slower than plain expression evaluation.
         "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -47,6 +48,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches that bound the pages a Python worker holds; Spark's own number is meant for narrow rows."""
+    if not 0 < int(spark.conf.get(_BATCH_ROWS)) <= _PAGES_PER_BATCH:
+        spark.conf.set(_BATCH_ROWS, str(_PAGES_PER_BATCH))
+    return spark
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
