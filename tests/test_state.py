@@ -230,3 +230,12 @@ def test_drift_pins_the_first_signature(spark):
     ddl = "domain string, template string, url string, seq long, signature string, template_signature string"
     signed = table(spark, ddl, ("d", "t", "1", 2, "B", None), ("d", "t", "2", 1, "A", None), ("d", "u", "3", 1, "X", "Y"))
     assert rows(R.signature_drift(signed).select("url", "expected", "observed"), "url") == [("1", "A", "B"), ("3", "Y", "X")]
+
+
+def test_page_texts_are_not_broadcast_for_grounding(spark, pages_of):
+    docs = with_documents(pages_of(("http://s/p", "<p>" + "filler " * 3000 + "Widget</p>")))
+    answers = spark.createDataFrame([("http://s/p", '{"name": "Widget", "brand": "Ghost"}')], "url string, text string")
+    found = E.ingest_responses(answers, docs).select("name", "brand")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in found.collect()] == [("Widget", None)]

@@ -125,3 +125,13 @@ def test_domain_of(spark):
 def test_query_params(spark):
     got = column(spark, ["http://x/?a=1&b=&a=2&c&d=%41+b&e=%zz#f=1"], U.query_params)
     assert [(p.key, p.value) for p in got[0]] == [("a", "1"), ("a", "2"), ("d", "A b"), ("e", "%zz")]
+
+
+def test_strip_takes_every_white_space_and_tries_no_pattern(spark):
+    spaces = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    cases = [spaces + "a" + spaces + "b" + spaces, spaces, "", None, "a", " ​ ", "é\r\n", "filler text " * 5000]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, x string")
+    rows = df.select("i", strip(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in rows] == [None if c is None else c.strip() for c in cases]
+    plan = df.select(strip(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as Unicode defines it, plus the ASCII separators, for ``strip``.
-_SPACE = r"\s\x1c-\x1f\x85   -     　"
+_SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Every kind of line break.
-LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+# The same one by one: a pair of two leaves a blank line, which ``lines`` drops.
+_BREAK = r"[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 
 
 def reusable(build: Callable) -> Callable:
@@ -40,13 +42,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove leading and trailing white space of any Unicode kind."""
-    return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    """Remove leading and trailing white space of any Unicode kind.
+
+    Looks at both ends only: a pattern would be tried at every character of a long text.
+    """
+    return F.trim(text, F.lit(_SPACE))
 
 
 def lines(text: Column) -> Column:
     """Split at every kind of line break, strip each line and drop blank ones."""
-    parts = F.split(text, LINE_BREAK)
+    parts = F.split(text, _BREAK)
     return F.filter(F.transform(parts, strip), lambda line: line != "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.functions.basics import explode_rows
+from webcatalog.functions.basics import explode_rows, let
 from webcatalog.functions.text import first_json
 from webcatalog.functions.values import get_items, is_grounded, text_of, variant, view
 from webcatalog.operators.extract import extract_records
@@ -109,19 +109,22 @@ def response_records(responses: DataFrame) -> DataFrame:
 def ground_fields(fields: Column, haystack: Column, url: Column) -> Column:
     """Drop checked values that the page text does not contain; default the product URL."""
     present = lambda v: F.coalesce(is_grounded(text_of(view(v)), haystack), F.lit(False))
-    kept = F.map_filter(fields, lambda k, v: ~k.isin(GROUNDED_FIELDS) | present(v))
-    specs = F.map_filter(
-        F.try_variant_get(F.try_element_at(kept, F.lit("specifications")), "$", "map<string, variant>"),
-        lambda _, v: present(v),
-    )
-    checked = F.transform_values(
-        kept,
-        lambda k, v: F.when((k == "specifications") & specs.isNotNull(), F.to_variant_object(specs)).otherwise(v),
-    )
     default = F.create_map(F.lit("product_url"), variant(url))
-    return F.when(F.map_contains_key(checked, "product_url"), checked).otherwise(
-        F.map_concat(checked, default)
-    )
+
+    def checked(kept: Column) -> Column:
+        specs = F.map_filter(
+            F.try_variant_get(F.try_element_at(kept, F.lit("specifications")), "$", "map<string, variant>"),
+            lambda _, v: present(v),
+        )
+        return let(specs, lambda found: F.transform_values(
+            kept, lambda k, v: F.when((k == "specifications") & found.isNotNull(), F.to_variant_object(found)).otherwise(v),
+        ))
+
+    # Each step once: a page's text may be long, and every look at a value searches it.
+    kept = F.map_filter(fields, lambda k, v: ~k.isin(GROUNDED_FIELDS) | present(v))
+    return let(let(kept, checked), lambda found: F.when(F.map_contains_key(found, "product_url"), found).otherwise(
+        F.map_concat(found, default)
+    ))
 
 
 def ground_candidates(candidates: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
@@ -133,7 +136,8 @@ def ground_candidates(candidates: DataFrame, documents: DataFrame, limit: int |
         "page_id", "url", "source_category",
         F.lower(clean_text(F.col("doc"), limit)).alias("_haystack"),
     )
-    joined = candidates.join(pages, "url")
+    # Texts are never broadcast: they are a multiple of the files that Spark's estimate goes by.
+    joined = candidates.join(pages.hint("merge"), "url")
     return joined.withColumn(
         "fields", ground_fields(F.col("fields"), F.col("_haystack"), F.col("url"))
     ).drop("_haystack")
