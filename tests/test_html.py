@@ -177,3 +177,12 @@ def test_pages_are_parsed_in_parts_of_bounded_memory(monkeypatch):
     texts = [page["texts"] for part in parts for page in part.to_pylist()]
     assert [len(t) for t in texts] == [1 + (i % 7) * 400 for i in range(3000)] + [0, 0, 200_000]
     assert [t[0] for t in texts[:3000]] == [f"page {i}" for i in range(3000)]
+
+
+def test_blocked_marks_are_found_with_one_look_at_the_head(spark):
+    heads = ["<title>Just A Moment...</title>", "x" * 3990 + "access denied", "x" * 3980 + "access denied", "fine", None]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, html string")
+    out = df.select("i", P.is_blocked(F.lit(200), F.col("html")).alias("b"))
+    assert [r.b for r in out.orderBy("i").collect()] == [True, False, True, False, False]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("lower(") == 1

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webcatalog.functions.basics import blank_to_null, lines
+from webcatalog.functions.basics import blank_to_null, let, lines
 from webcatalog.functions.html import CHROME, HIDDEN, parse_html
 
 # Fixed marks of an access-denied or challenge page.
@@ -37,8 +39,9 @@ def _cut(text: Column, limit: int | None) -> Column:
 
 def is_blocked(status: Column, html: Column, head_chars: int | None = BLOCK_HEAD) -> Column:
     """Whether the status or a mark in the first ``head_chars`` characters (None: all) says so."""
-    head = F.lower(_cut(html, head_chars))
-    marked = head.rlike("|".join(BLOCK_MARKERS))
+    # Plain searches: alternatives of a pattern would be tried at every character.
+    found = lambda head: reduce(or_, [F.contains(head, F.lit(m)) for m in BLOCK_MARKERS])
+    marked = let(F.lower(_cut(html, head_chars)), found)
     return F.coalesce(status.isin(BLOCK_STATUSES), F.lit(False)) | F.coalesce(marked, F.lit(False))
 
 
