@@ -232,8 +232,9 @@ def test_drift_pins_the_first_signature(spark):
     assert rows(R.signature_drift(signed).select("url", "expected", "observed"), "url") == [("1", "A", "B"), ("3", "Y", "X")]
 
 
-def test_page_texts_are_not_broadcast_for_grounding(spark, pages_of):
-    docs = with_documents(pages_of(("http://s/p", "<p>" + "filler " * 3000 + "Widget</p>")))
+def test_page_texts_are_not_broadcast_for_grounding(spark, pages_of, tmp_path):
+    pages_of(("http://s/p", "<p>" + "filler " * 3000 + "Widget</p>")).write.parquet(f"{tmp_path}/pages")
+    docs = with_documents(spark.read.parquet(f"{tmp_path}/pages"))  # a small file
     answers = spark.createDataFrame([("http://s/p", '{"name": "Widget", "brand": "Ghost"}')], "url string, text string")
     found = E.ingest_responses(answers, docs).select("name", "brand")
     plan = found._jdf.queryExecution().executedPlan().toString()
