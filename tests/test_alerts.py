@@ -89,6 +89,19 @@ def test_only_keys_with_late_rows_are_compared_anew(spark, tmp_path):
     assert [(r.dedup_key, r.price) for r in written.where("late").collect()] == [("a", 9.0)]
 
 
+def test_keys_share_state_and_timers(spark, tmp_path):
+    rows = _rows(3000, 2500, 300, 4)
+    folder = str(tmp_path)
+    _write(spark, folder, rows, END)
+    seen = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    alerts = stream_alerts(seen, "3 days", 100 * DAY, order=ORDER, groups=16)
+    stream = write_alerts(alerts, f"{folder}/table", f"{folder}/checkpoint")
+    stream.awaitTermination()
+    timers = [s["customMetrics"]["numRegisteredTimers"] for p in stream.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(timers) <= 16  # one for each group, however many keys and buckets it has
+    assert _plain(read_alerts(spark, f"{folder}/table", alerts.schema, order=ORDER)) == _batch(spark, rows)
+
+
 def test_an_order_that_names_the_price_is_refused(spark):
     seen = spark.readStream.schema(DDL).parquet("/root/testdata/none-*")
     with pytest.raises(ValueError):

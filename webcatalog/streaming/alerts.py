@@ -13,8 +13,8 @@ from webcatalog.operators.changes import change_alerts
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Parts among which observations without a key are dealt; they only move the clock.
-_KEYLESS_PARTS = 1024
+#: Rows of a group that are held before they go to the state store.
+_HELD = 50_000
 
 
 def _rank(value) -> tuple:
@@ -35,61 +35,93 @@ def _event(price, availability, before) -> str | None:
 
 
 class _Alerts(StatefulProcessor):
-    """Holds the open time buckets of a key; the timer at a bucket's end compares its rows in order.
+    """Holds the open time buckets of a group of keys; a timer at the end of the first compares the rows of all that ended, in order.
 
-    Spark fires the timers of a key in the order of time. So the last values of the bucket before are
-    the only others needed, and a task holds one bucket of one key at most.
+    A call to the state store costs far more than a row, so calls follow groups and their open buckets, not
+    keys. A bucket's rows lie in parts, one more for each batch, and the last values of the group's keys in one
+    value: a task holds those, and the rows of one bucket of one group.
     """
 
     def __init__(self, seen: StructType, width_ms: int) -> None:
         self.seen, self.width = seen, width_ms
-        self.result = Row("_key", *seen.names, "prev_price", "prev_availability", "event", "late")
+        self.names = [name for name in seen.names if name != "_key"]
+        self.result = Row("_key", *self.names, "prev_price", "prev_availability", "event", "late")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        rows = StructType([StructField("rows", ArrayType(self.seen))])
-        self.open = handle.getMapState("open", StructType([StructField("ends", LongType())]), rows)
-        last = [self.seen["price"], self.seen["availability"], StructField("done", LongType())]
-        self.last = handle.getValueState("last", StructType(last))
-
-    def _row(self, key, values: tuple, before: tuple | None, event: str | None, late: bool) -> Row:
-        return self.result(key, *values, *(before or (None, None))[:2], event, late)
+        long = lambda name: StructField(name, LongType())
+        many = lambda name, fields: StructType([StructField(name, ArrayType(StructType(fields)))])
+        self.rows = handle.getMapState("rows", StructType([long("ends"), long("part")]), many("rows", self.seen.fields))
+        self.open = handle.getValueState("open", many("open", [long("ends"), long("parts")]))
+        last = [self.seen["_key"], self.seen["price"], self.seen["availability"], long("done")]
+        self.last = handle.getValueState("last", many("last", last))
+
+    def _row(self, values: tuple, before: tuple | None, event: str | None, late: bool) -> Row:
+        return self.result(*values, *(before or (None, None))[:2], event, late)
+
+    def _known(self) -> tuple[dict[int, int], dict[str, tuple]]:
+        """Parts of each open bucket; price, availability and the end of the last compared bucket of each key."""
+        parts, last = self.open.get(), self.last.get()
+        return dict(map(tuple, parts[0])) if parts else {}, {k: tuple(v) for k, *v in last[0]} if last else {}
+
+    def _keep(self, fresh: dict[int, list], parts: dict[int, int]) -> None:
+        for ends, values in fresh.items():
+            self.rows.updateValue((ends, parts.get(ends, 0)), (values,))
+            parts[ends] = parts.get(ends, 0) + 1
+        fresh.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[0] is None:
-            return
-        before = self.last.get()
+        parts, last = self._known()
+        first = min(parts, default=None)
         fresh: dict[int, list] = {}
+        held = 0
         for row in rows:
-            values = tuple(row[name] for name in self.seen.names)
-            if values[0] is None:
+            values = tuple(row)[: len(self.seen)]
+            if values[0] is None or values[1] is None:
                 continue
-            ends = (values[0] // (1000 * self.width) + 1) * self.width
+            ends = (values[1] // (1000 * self.width) + 1) * self.width
+            before = last.get(values[0])
             if before is not None and ends <= before[2]:
-                yield self._row(key[0], values, None, None, True)
-            else:
-                fresh.setdefault(ends, []).append(values)
-        for ends, values in fresh.items():
-            known = self.open.getValue((ends,))
-            if known is None:
-                self.handle.registerTimer(ends)
-            self.open.updateValue((ends,), ([tuple(v) for v in known[0]] + values if known else values,))
+                yield self._row(values, None, None, True)
+                continue
+            fresh.setdefault(ends, []).append(values)
+            held += 1
+            if held == _HELD:
+                self._keep(fresh, parts)
+                held = 0
+        self._keep(fresh, parts)
+        if not parts:
+            return
+        self.open.update((list(parts.items()),))
+        if first != min(parts):
+            if first is not None:
+                self.handle.deleteTimer(first)
+            self.handle.registerTimer(min(parts))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ends = expiredTimerInfo.getExpiryTimeInMs()
-        before = self.last.get()
-        rows = [tuple(v) for v in self.open.getValue((ends,))[0]]
-        self.open.removeKey((ends,))
-        for values in sorted(rows, key=lambda v: [_rank(x) for x in v]):
-            *_, price, availability = values
-            yield self._row(key[0], values, before, _event(price, availability, before), False)
-            before = (price, availability)
-        self.last.update((*before[:2], ends))
+        parts, last = self._known()
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for ends in sorted(e for e in parts if e <= until):
+            rows = []
+            for part in range(parts.pop(ends)):
+                rows += map(tuple, self.rows.getValue((ends, part))[0])
+                self.rows.removeKey((ends, part))
+            for values in sorted(rows, key=lambda v: (v[0], *map(_rank, v[1:]))):
+                name, *_, price, availability = values
+                before = last.get(name)
+                yield self._row(values, before, _event(price, availability, before), False)
+                last[name] = (price, availability, ends)
+        self.last.update(([(k, *v) for k, v in last.items()],))
+        if parts:
+            self.open.update((list(parts.items()),))
+            self.handle.registerTimer(min(parts))
+        else:
+            self.open.clear()
 
 
 def stream_alerts(
     observations: DataFrame, delay: str = "1 day", width_ms: int = 86_400_000,
-    key: str = "dedup_key", order: tuple[str, ...] = ("scraped_at",),
+    key: str = "dedup_key", order: tuple[str, ...] = ("scraped_at",), groups: int = 512,
 ) -> DataFrame:
     """Every observation (key, order columns, price, availability) next to the one before it.
 
@@ -98,7 +130,8 @@ def stream_alerts(
     ``order`` follow price and availability. A row whose bucket has been compared for its key comes out
     at once with ``late`` set and no event: :func:`read_alerts` works it in. Rows without a time
     are left out, and rows without a key only move the clock, so an empty row far in the
-    future closes all that is open. Further columns are ignored.
+    future closes all that is open. Further columns are ignored. Keys share the state of one of
+    ``groups``, a number that stays as long as the checkpoint: more groups hold less each and call the state store more often.
     """
     seen = observations.withWatermark(order[0], delay).select(
         # Without the clock itself: Spark would drop late rows by that column.
@@ -107,14 +140,16 @@ def stream_alerts(
     )
     if len(set(seen.columns)) < len(order) + 3:
         raise ValueError("order must not name price or availability: they settle ties already")
-    plain = StructType([StructField(f.name, f.dataType) for f in seen.drop("_key").schema])
-    keyless = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(*plain.names), F.lit(_KEYLESS_PARTS))).otherwise(F.lit(0))
+    seen = seen.select("_key", *seen.drop("_key").columns)
+    plain = seen.drop("_key").schema.fields
+    # Observations without a key are dealt out too; they only move the clock.
+    dealt = F.when(F.col("_key").isNull(), F.xxhash64(*seen.columns)).otherwise(F.xxhash64("_key"))
     out = StructType(
-        [StructField("_key", StringType()), *plain, StructField("prev_price", plain["price"].dataType),
+        [seen.schema["_key"], *plain, StructField("prev_price", seen.schema["price"].dataType),
          StructField("prev_availability", StringType()), StructField("event", StringType()), StructField("late", BooleanType())]
     )
-    grouped = seen.withColumn("_part", keyless).groupBy("_key", "_part")
-    compared = grouped.transformWithState(_Alerts(plain, width_ms), out, "Append", "EventTime")
+    grouped = seen.withColumn("_group", F.pmod(dealt, F.lit(groups)).cast("int")).groupBy("_group")
+    compared = grouped.transformWithState(_Alerts(seen.schema, width_ms), out, "Append", "EventTime")
     return compared.withColumnRenamed("_key", key).withColumn(order[0], F.timestamp_micros(order[0]))
 
 
