@@ -186,3 +186,14 @@ def test_blocked_marks_are_found_with_one_look_at_the_head(spark):
     assert [r.b for r in out.orderBy("i").collect()] == [True, False, True, False, False]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and plan.count("lower(") == 1
+
+
+def test_a_part_is_parsed_without_collections_and_leaves_the_collector_as_it_was(monkeypatch):
+    import gc
+
+    from webcatalog.functions import html
+
+    seen, built = [], html._documents
+    monkeypatch.setattr(html, "_documents", lambda pages: (seen.append(gc.isenabled()), built(pages))[1])
+    assert html._parsed(["<p class='a b' id=x>y", None, ""], None).to_pylist()[0]["elems"][2]["attrs"] == [("id", "x")]
+    assert seen == [False] and gc.isenabled()
