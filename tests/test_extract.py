@@ -201,3 +201,10 @@ def test_coverage_counts_unknown_availability_unless_strict(spark):
     products = N.valid(N.normalize(raw(spark, full, {"name": "n"}).withColumn("source_category", F.lit(None).cast("string"))))
     score = lambda strict: [r.coverage for r in N.with_coverage(products, strict).orderBy("rec_no").collect()]
     assert score(False) == [1.0, 0.25] and score(True) == [1.0, 0.125]
+
+
+def test_profiles_are_scored_without_a_step_for_regex_rules(spark):
+    from query_suite import QUERIES
+
+    scored = QUERIES["evaluate_profiles"](spark, "/root/testdata/sf0.001")
+    assert "_regex_values" not in scored._jdf.queryExecution().optimizedPlan().toString()

@@ -163,14 +163,15 @@ def ground_texts(candidates: DataFrame, texts: DataFrame, columns: list[str]) ->
     return joined.withColumns(checked).drop("_haystack")
 
 
-def evaluate_profiles(matched: DataFrame) -> DataFrame:
+def evaluate_profiles(matched: DataFrame, regex: bool | None = None) -> DataFrame:
     """Score candidate profiles on sample pages (documents joined to compiled candidates).
 
     Per profile: best record coverage (3 decimals), number of valid records, signature of its
-    first page. Nothing is filtered: a profile without valid records scores 0.
+    first page. Nothing is filtered: a profile without valid records scores 0. ``regex``: as in
+    :func:`extract_records`.
     """
     signed = matched.withColumn("signature", signature(F.col("doc")))
-    raw = extract_records(signed, keep_empty=True).withColumnRenamed("url", "page_url")
+    raw = extract_records(signed, regex, keep_empty=True).withColumnRenamed("url", "page_url")
     records = normalize(raw).withColumn("coverage", coverage())
     good = F.col("rec_no").isNotNull() & F.col("reason").isNull()
     return records.groupBy("domain", "template").agg(
